@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import leakage
+from reviewloom.llm import leakage, residue
 from reviewloom.llm.pii import operator as pii
 from reviewloom.session import table
 
@@ -32,5 +32,14 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(documents.select("doc_id", "source", "n_chars"), leaks)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_redacted, p8_found, p8_clean)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    return residue.without_residue(documents, residue.find_residue(documents)).drop("text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_redacted, p8_found, p8_clean, p9_found, p9_clean)}
 ORACLE: dict[str, str] = {}
