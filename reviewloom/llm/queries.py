@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import leakage, residue
+from reviewloom.llm import leakage, packing, residue
 from reviewloom.llm.pii import operator as pii
 from reviewloom.session import table
 
@@ -21,6 +21,10 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(silver, "review_text").select("review_id", "event_hash", "redacted")
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
@@ -41,5 +45,5 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(documents, residue.find_residue(documents)).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_redacted, p8_found, p8_clean, p9_found, p9_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_redacted, p7_packed, p8_found, p8_clean, p9_found, p9_clean)}
 ORACLE: dict[str, str] = {}
