@@ -175,7 +175,7 @@ def windows_of(n: int) -> list[tuple[int, int]]:
     return [(a, min(a + WINDOW, n)) for a in starts]
 
 
-def tag_texts(tagger: Tagger, texts: list[str], batch_chars: int = 150_000) -> list[list[tuple[int, int, str]]]:
+def tag_texts(tagger: Tagger, texts: list[str], batch_chars: int = 24_000) -> list[list[tuple[int, int, str]]]:
     """Spans of each text.
 
     Windows of all texts are scored in batches of similar length. Where windows
