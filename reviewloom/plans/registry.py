@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewloom.plans import data_problems
+from reviewloom.plans import data_problems, lakehouse
 
-QUERIES = {**data_problems.QUERIES}
-ORACLE = {**data_problems.ORACLE}
+QUERIES = {**lakehouse.QUERIES, **data_problems.QUERIES}
+ORACLE = {**lakehouse.ORACLE, **data_problems.ORACLE}
