@@ -41,16 +41,20 @@ _WHOLE = r"^\s*[+-]?\d+(?:\.0*)?\s*$"
 _ZONED = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:[Zz]|[+-]\d{2}:?\d{2})$"
 
 
-def _whole(text: Column) -> Column:
+def whole(text: Column) -> Column:
     """Lax whole number of a JSON scalar's text: 4, 4.0, "4", true; null if it is none."""
     return F.when(F.lower(text) == "true", 1).when(text.rlike(_WHOLE), text.try_cast("double").cast("long")).otherwise(F.when(text.rlike(r"^\d+e0$"), F.regexp_extract(text, r"^\d+", 0).try_cast("long")))
 
 
-def _instant(text: Column) -> Column:
+def instant(text: Column) -> Column:
     """An instant with zone: ISO text, or seconds since 1970; null if it is none."""
     return F.when(text.rlike(_ZONED), F.try_to_timestamp(text)).when(text.rlike(r"^\d{1,11}(?:\.\d+)?$"), F.timestamp_seconds(text.try_cast("double")))
 
 
+def stripped(text: Column) -> Column:
+    return strip_unicode(text)
+
+
 def strict_reason(payload: Column) -> Column:
     """The full contract over a JSON text: lengths after stripping, closed field list, zone, order of times."""
     fields = F.from_json(payload, "map<string,string>")
@@ -60,9 +64,9 @@ def strict_reason(payload: Column) -> Column:
     reason = reason.when(F.size(F.array_except(keys, F.array(*[F.lit(n) for n in EVENT.names]))) > 0, "unknown_field")
     for f, (low, high) in TEXT_BOUNDS.items():
         reason = reason.when(~F.coalesce(F.length(text[f]).between(low, high), F.lit(False)), f)
-    reason = reason.when(~F.coalesce(_whole(text["rating"]).between(*RATING), F.lit(False)), "rating")
-    made, changed = _instant(text["created_at"]), _instant(text["updated_at"])
+    reason = reason.when(~F.coalesce(whole(text["rating"]).between(*RATING), F.lit(False)), "rating")
+    made, changed = instant(text["created_at"]), instant(text["updated_at"])
     reason = reason.when(made.isNull(), "created_at")
     reason = reason.when(text["updated_at"].isNotNull() & (changed.isNull() | (changed < made)), "updated_at")
-    reason = reason.when(text["schema_version"].isNotNull() & ~F.coalesce(_whole(text["schema_version"]) == VERSION, F.lit(False)), "schema_version")
+    reason = reason.when(text["schema_version"].isNotNull() & ~F.coalesce(whole(text["schema_version"]) == VERSION, F.lit(False)), "schema_version")
     return reason.when(F.length(text["customer_id_hash"]) > CUSTOMER_MAX, "customer_id_hash")

@@ -47,7 +47,7 @@ def operation(column: Column) -> Column:
 
 
 def event_time() -> Column:
-    return F.coalesce("updated_at", "created_at", F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    return F.coalesce("updated_at", "created_at", F.lit("0002-01-01 00:00:00").cast("timestamp"))
 
 
 def assemble(changes: DataFrame) -> DataFrame:
