@@ -379,7 +379,7 @@ def error_parse(records: DataFrame) -> DataFrame:
         names = ["reason", "edits", "edit_cost", *FIELDS]
         for pdf in batches:
             got = parse_records(pdf["record"].tolist(), pdf["format"].tolist())
-            res = pd.DataFrame(got, columns=names) if got else pd.DataFrame({n: [] for n in names})
+            res = pd.DataFrame(got, columns=names)
             res.insert(0, "record_key", pdf["record_key"].to_numpy())
             res.insert(0, "source_table", pdf["source_table"].to_numpy())
             yield res

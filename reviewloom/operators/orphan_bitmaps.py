@@ -63,7 +63,7 @@ def orphans_in_range(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """The orphans of one key range. ``known``: key, first (null for a deleted key without parent)."""
     n = len(refs)
     if not n:
-        return pd.DataFrame({"key": [], "part": [], "period": [], "rows": [], "reason": []})
+        return pd.DataFrame([], columns=["key", "part", "period", "rows", "reason"])
     codes, dictionary = pd.factorize(np.concatenate([refs["key"].to_numpy(object), known["key"].to_numpy(object)]))
     child, parent = codes[:n], codes[n:]
     is_parent = known["first"].notna().to_numpy()
@@ -94,7 +94,7 @@ def orphans_in_range(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     none = first[child[at_rows]] == NEVER
     gone = np.isin(child[at_rows], deleted.decode())
     reason = np.where(~none, "later", np.where(gone, "deleted", "missing"))
-    out = refs.iloc[at_rows][["key", "part", "period", "rows"]].copy()
+    out = pd.DataFrame({c: refs[c].to_numpy(object)[at_rows] for c in ("key", "part", "period", "rows")})
     out["reason"] = reason
     return out
 
