@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.folding import GramTable, fold, fold_all
+from reviewloom.llm.folding import GramTable, fold, fold_all, grams
 
 DEPTH = 4  # tokens that name a leaf
 LINES = 3  # lines that a message may take
@@ -60,17 +60,29 @@ _FILLER = re.compile(r"lorem|ipsum|dolor sit|blindtext|dummy (?:text|wording)|bo
 _HEADING = re.compile(r"^(?:(?!HTTP)[A-ZÀ-Ý]{3,} ){1,4}(?=\S)")
 
 
+_FIRST = re.compile(r".{12,}?[.!?…](?= |$)|.+", re.S)
+#: How script notices begin; what begins otherwise is content that ran into one.
+_OPENING = re.compile(r"\W*(?:to \w+|in order|before|please|kindly|this|you|your|checking|sorry|javascript|scripts?|enable|activate|turn|switch|bitte|um |veuillez|pour|activez|aktivieren)\b", re.I)
+_STATUS_LINE = re.compile(r"\W*#+ (?:not found|bad gateway|forbidden|internal server error|service unavailable|gateway timeout)", re.I)
+NEAR = 12  # characters from the start within which an error or filler phrase has to begin
+
+
 def classify(template: str) -> tuple[str, str]:
-    """(verdict, the text that stands for it): ``script``, ``error``, ``crumb``, ``filler`` or ``content``."""
+    """(verdict, the text that stands for it): ``script``, ``error``, ``crumb``, ``filler`` or ``content``.
+
+    Only the first sentence counts: a message begins where its line begins.
+    """
     text = _HEADING.sub("", template)
     if crumb := _CRUMB.search(text):
         return "crumb", crumb.group()
-    if _SCRIPT.search(text) and (_SCRIPT_ON.search(text) or "javascript" in text.lower()):
+    if status := _STATUS_LINE.match(text):
+        return "error", status.group()
+    text = m.group() if (m := _FIRST.match(text)) else text
+    if _SCRIPT.search(text) and _OPENING.match(text) and (_SCRIPT_ON.search(text) or "javascript" in text.lower()):
         return "script", text
-    if _ERROR.search(text):
-        return "error", text
-    if _FILLER.search(text):
-        return "filler", text
+    for verdict, pattern in (("error", _ERROR), ("filler", _FILLER)):
+        if (m := pattern.search(text)) and m.start() <= NEAR:
+            return verdict, text
     return "content", text
 
 
@@ -98,18 +110,47 @@ def templates(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def residue_templates(documents: DataFrame, text: str = "text") -> list[tuple[str, str]]:
-    """(verdict, message) of the residue templates, behind a check of their size."""
+    """(verdict, message) of the residue templates, the most frequent first, behind a check of their size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pd.DataFrame([classify(m) for m in pdf["message"]], columns=["verdict", "message"])
+            out = pd.DataFrame([(*classify(m), n) for m, n in zip(pdf["message"], pdf["n"])], columns=["verdict", "message", "n"])
             yield out[out.verdict != "content"]
 
-    found = templates(documents, text).select("message").mapInPandas(run, "verdict string, message string").distinct()
-    rows = found.limit(MAX_TABLE // 512 + 1).collect()
+    found = templates(documents, text).select("message", "n").mapInPandas(run, "verdict string, message string, n long")
+    rows = found.groupBy("verdict", "message").agg(F.sum("n").alias("n")).limit(MAX_TABLE // 512 + 1).collect()
     if len(rows) > MAX_TABLE // 512:
         raise ValueError("more residue templates than the broadcast bound allows")
-    return sorted((r[0], r[1]) for r in rows)
+    return [(r[0], r[1]) for r in sorted(rows, key=lambda r: (-r[2], r[0], r[1]))]
+
+
+def merged(found: list[tuple[str, str]]) -> tuple[list[str], list[np.ndarray]]:
+    """Verdicts and symbols of the templates that no more frequent one stands for.
+
+    A template is merged into one that covers it as a line would have to be
+    covered, and a little more, so what it would find is found by the other.
+    """
+    verdicts: list[str] = []
+    symbols: list[np.ndarray] = []
+    owners: dict[int, set[int]] = {}
+    sizes: list[int] = []
+    for verdict, message in found:
+        s = fold(_NUMBER.sub(" ", message))[0][:60]
+        if len(s) < MIN_GRAMS + GRAM - 1:
+            continue
+        mine = set(grams(s, GRAM).tolist())
+        shared: dict[int, int] = {}
+        for g in mine:
+            for o in owners.get(g, ()):
+                shared[o] = shared.get(o, 0) + 1
+        if any(n >= (COVER + 0.1) * sizes[o] for o, n in shared.items()):
+            continue
+        for g in mine:
+            owners.setdefault(g, set()).add(len(sizes))
+        sizes.append(len(mine))
+        verdicts.append(verdict)
+        symbols.append(s)
+    return verdicts, symbols
 
 
 def known_words(documents: DataFrame, text: str = "text", share: float = KNOWN_SHARE) -> set[str]:
@@ -125,15 +166,20 @@ _NAME = r"[A-Za-z0-9À-ÿ][\w.\-]*(?: [\w.\-]+){0,3}"
 _SLOT = re.compile(
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>|<%=?\s*{_NAME}\s*%>|\{{%\s*{_NAME}\s*%\}}|\{{(?:\d|[A-Za-z]+[_.][\w.]+|[A-Z_]{{4,}})\}}"
     r"|%[A-Za-z]+(?:[_.]\w+)*%|%[sd] of %[sd]|__[A-Za-z]+(?:[_. ]\w+)*__|<[A-Za-z]+(?:[_.]\w+)+>|<(?:FirstName|LastName|Name|headline|author|title|date|caption|byline|body|article|newspaper|page)>"
-    r"|\[(?:your|insert|insérer|hier|einfügen|name of|date tbc|tbc|todo|placeholder)\b[^\]]{0,40}\]|\[[A-Za-z]+[_.]\w+\]|\[[A-Z]+(?:_[A-Z]+)+\]|\bXX [A-Z ]{3,40} XX\b|\bTK TK\b|\{(?!sic\b)[A-Za-zäöüéè]{4,}\}",
+    r"|\[(?:your|insert|insérer|hier|einfügen|name of|date tbc|tbc|todo|placeholder)\b[^\]]{0,40}\]|\[[A-Za-z]+[_.]\w+\]|\[[A-Z]+(?:_[A-Z]+)+\]|\bXX [A-Z ]{3,40} XX\b|\bTK TK\b|\{(?!sic\b)[A-Za-zäöüéè]{4,}\}|\[(?:headline|author|title|titel|date|caption|byline|body|article|autor|auteur|schlagzeile)\]",
     re.I,
 )
 _BARE = re.compile(r"(?:By|Title:|On page|Published in)\s*'?\s*(?:\{[^{}]{1,30}\}|\[[^\[\]]{1,30}\]|<[^<>]{1,30}>)", re.I)
 _EDITORIAL = re.compile(r"\[(?:sic|continued|from our|to be continued|advertisement|illegible|see|cont)\b|\{sic\}", re.I)
-_STATUS = re.compile(r"^\W*\[?(?:4\d\d|5\d\d)\]? ?(?:not found|bad gateway|forbidden|unauthorized|internal server error|service unavailable|gateway time-?out)\b|^\W*\[(?:4|5)\d\d\] the\b", re.I)
+_MAY_SLOT = re.compile(r"[{\[<%]|__|XX|TK")
+_STATUS = re.compile(r"^[^\w\n]*\[?(?:4\d\d|5\d\d)\]? ?(?:not found|bad gateway|forbidden|unauthorized|internal server error|service unavailable|gateway time-?out)\b|^[^\w\n]*\[(?:4|5)\d\d\] the\b", re.I | re.M)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Numbers stand for themselves in no template; a single digit inside a word is a misread letter.
+_NUMBER = re.compile(r"\d{2,}|(?<!\w)\d(?!\w)")
+
+
 def slot_line(line: str) -> bool:
     """Whether the line holds an unfilled slot."""
     if not ("{" in line or "[" in line or "<" in line or "%" in line or "__" in line or "XX" in line or "TK" in line):
@@ -144,9 +190,12 @@ def slot_line(line: str) -> bool:
 
 def filler_line(line: str, known: set[str]) -> float:
     """2 for a line of signs or repeated words, 1 for one of unknown words, 0 for content, -1 if it is too short to say."""
-    tokens = line.split()
+    tokens = line.lower().split()
     if not tokens:
         return -1
+    if 2 * len(set(tokens)) > len(tokens) + 2 and len(known.intersection(tokens)) >= max(2, 0.25 * len(tokens)):
+        return 0  # too many different words to be repetition, and enough that the corpus knows
+    tokens = line.split()
     letters = sum(map(len, tokens))
     signs = sum(1 for t in tokens if len(t) >= 2 and (not any(c.isalnum() for c in t) or set(t.lower()) == {"x"}))
     if len(tokens) >= 2 and signs >= max(2, 0.7 * len(tokens)) and letters >= 8:
@@ -171,22 +220,13 @@ class Detector:
 
     def __init__(self, found: list[tuple[str, str]], known: set[str]):
         self.known = known
-        symbols = []
-        self.verdicts = []
-        seen = set()
-        for verdict, message in found:
-            s, _ = fold(message)
-            if len(s) < MIN_GRAMS + GRAM - 1 or s.tobytes() in seen:
-                continue
-            seen.add(s.tobytes())
-            symbols.append(s[:60])
-            self.verdicts.append(verdict)
+        self.verdicts, symbols = merged(found)
         self.size = np.array([len(s) - GRAM + 1 for s in symbols], np.int64)
         self.table = GramTable(symbols, GRAM)
 
     def by_template(self, texts: list[str]) -> list[set[int]]:
         """Per text the lines that begin with a residue template."""
-        symbols, at, _, starts = fold_all(texts)
+        symbols, at, _, starts = fold_all([_NUMBER.sub(lambda m: " " * len(m.group()), t) for t in texts])
         out: list[set[int]] = [set() for _ in texts]
         if not len(self.size) or not len(symbols):
             return out
@@ -201,6 +241,11 @@ class Detector:
         begin = np.full(int(base[-1]) + 1, len(symbols), np.int64)
         np.minimum.at(begin, line, np.arange(len(symbols)))
         origin = hit - place
+        near = np.zeros(len(symbols) + 8, bool)  # within a few symbols of a line's begin; most hits are elsewhere
+        for d in range(-3, 4):
+            near[np.clip(begin[begin < len(symbols)] + d, 0, len(symbols) + 7)] = True
+        some = near[np.clip(origin, 0, len(symbols) + 7)]
+        origin, template, place = origin[some], template[some], place[some]
         for shift in (-2, 4):  # the line in which the template begins, allowing for a few symbols lost or added
             home = line[np.clip(origin + shift, 0, len(symbols) - 1)]
             ok = np.abs(origin - begin[home]) <= 3
@@ -220,13 +265,16 @@ class Detector:
         for text, marked in zip(texts, hits):
             found = {k: "template" for k in marked}
             lines = text.split("\n")
-            grade = []
-            for k, line in enumerate(lines):
-                if slot_line(line):
-                    found.setdefault(k, "slot")
-                elif _STATUS.search(line):
-                    found.setdefault(k, "template")
-                grade.append(filler_line(line, self.known))
+            if _MAY_SLOT.search(text):
+                for k, line in enumerate(lines):
+                    if slot_line(line):
+                        found.setdefault(k, "slot")
+            for m in _STATUS.finditer(text):
+                found.setdefault(text.count("\n", 0, m.start()), "template")
+            grade = [filler_line(line, self.known) for line in lines]
+            if max(grade) < 1:
+                out.append(sorted(found.items()))
+                continue
             for k, g in enumerate(grade):
                 if g == 2:
                     found.setdefault(k, "filler")
