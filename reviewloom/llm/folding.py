@@ -13,7 +13,7 @@ import numpy as np
 #: Letters that scans confuse, by the symbol that they share (fixed values).
 CONFUSED = {"o": "oaec0", "l": "il1j!|", "n": "nur", "h": "hbk8", "s": "sf5", "g": "gq9", "v": "vy"}
 #: Pairs that scans take for one letter (fixed values).
-PAIRS = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ol", "d"), ("in", "m"), ("iu", "m"), ("ii", "u"))
+PAIRS = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ol", "d"), ("in", "m"), ("iu", "m"))
 
 _ALNUM = "abcdefghijklmnopqrstuvwxyz0123456789"
 _FOLD = {c: s for s, cs in CONFUSED.items() for c in cs}
