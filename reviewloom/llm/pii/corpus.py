@@ -40,7 +40,7 @@ CARRIERS = {
     "phone": ["my number: {}, ask for a refund", "Fax {} (yes, fax)", "whatsapp {} pls", "sms to {} is fine", "Rückruf bitte unter {}.", "Tel. {}", "Call me on {} after six.", "You can ring {} any time.", "the driver kept ringing {} instead of the bell", "{} is my work line.", "Nobody called {} back.", "Phone: {}", "Telefon {}", "Appelez le {} svp.", "reach me under {}!", "mobile {}", "{}"],
     "id_number": ["They even wanted my national ID, {}.", "Social security {} for the credit check, really?", "numéro de sécurité sociale {} demandé deux fois", "the form showed my SSN ({}) to everyone", "I had to type my tax number {} twice.", "citizen card {} rejected", "Insurance no. {} was on the parcel!", "passport no. {} should not be printed on a label.", "ID: {}", "Personalausweis {} wurde verlangt.", "Insurance no. {} should not be printed on a label.", "passport no. {} was on the parcel!", "My passport {} was scanned.", "Steuernummer {} stand drauf.", "they kept my social security number {}.", "National insurance {} on file.", "Reisepass {} kopiert.", "my tax ID {} leaked", "SSN {} visible"],
     "address": ["Please deliver to {} next time.", "I live at {}, the courier went elsewhere.", "pick-up point was {} (closed)", "Adresse: {}.", "Sent to {}, not to my office!", "neighbours at {} took it in", "livré au {} par erreur", "We moved to {} in March.", "Collection from {} never happened.", "Left outside {} in the rain.", "Address: {}", "it went to {} again.", "Lieferung an {} bitte.", "Bring it to {}!", "my flat, {}, has no bell.", "deliver to {}"],
-    "name": ["Thanks to {} for the help!", "Gruß, {}", "- {}", "Signed, {}", "Mr {} at the desk was kind.", "Frau {} war sehr nett.", "Herr {} hat geholfen.", "Mme {} m'a répondu.", "a certain {} signed for my parcel", "I spoke with {} twice.", "Ask Dr. {} about the noise.", "My name is {} and I want a reply.", "Reviewer: {}", "bought for my niece {} last week", "{} from the repair desk promised a call.", "Regards, {}", "Mrs. {} answered.", "the agent {} was rude.", "Prof. {} recommended it.", "Merci à {} !", "My friend {} agrees.", "Best, {}", "{} helped me.", "Miss {} packed it."],
+    "name": ["Thanks to {} for the help!", "Gruß, {}", "- {}", "Signed, {}", "Mr {} at the desk was kind.", "Frau {} war sehr nett.", "Herr {} hat geholfen.", "Mme {} m'a répondu.", "a certain {} signed for my parcel", "I spoke with {} twice.", "Ask Dr. {} about the noise.", "My name is {} and I want a reply.", "Reviewer: {}", "bought for my niece {} last week", "{} from the repair desk promised a call.", "Regards, {}", "Mrs. {} answered.", "the agent {} was rude.", "Prof. {} recommended it.", "Merci à {} !", "My friend {} agrees.", "Best, {}", "{} helped me.", "Miss {} packed it.", "The technician, {}, fixed it.", "our neighbour, {}, agrees."],
 }
 
 
@@ -137,6 +137,8 @@ class Maker:
         p = r.random()
         if p < 0.6:
             s = r.choice(self.neutral)
+            if r.random() < 0.04:
+                s += " " + r.choice(["😀", "👍👍", "★★★★", "❤️", "€ 20", "½ price", "日本", "№ 5", "\u00a0", "→ ok"])
             if s[-1:] == "." and r.random() < 0.3:
                 s = s[:-1] + r.choice(";!;!")
             if r.random() < 0.12:
@@ -167,4 +169,9 @@ class Maker:
             out += before
             spans.append((len(out), len(out) + len(value), k))
             out += value + after
+            if k == "name" and r.random() < 0.06 and not after:  # two names with nothing but a blank between
+                other = self.name()
+                out += " "
+                spans.append((len(out), len(out) + len(other), k))
+                out += other + " from the repair desk promised a call."
         return out, spans

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from reviewloom.llm.pii.model import Tagger, tag_texts
 
+MEMORY = 100_000  # texts of up to 500 characters that a task remembers
 WEIGHTS = str(Path(__file__).with_name("tagger.npz"))
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 _EDGE = " \t\n.,;:!?\"'“”<>{}[]"
@@ -80,12 +81,18 @@ MENTION = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T
 def _finder(weights: str):
     with np.load(weights) as f:
         w = {k: f[k] for k in f.files}
-    state: dict[str, Tagger] = {}
+    state: dict[str, object] = {}
 
     def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-        if "t" not in state:
-            state["t"] = Tagger(w)
-        return find_all(state["t"], texts)
+        """Spans of each text; a bounded memory of the task's texts saves tagging repeated ones."""
+        tagger, seen = state.setdefault("t", Tagger(w)), state.setdefault("seen", {})
+        fresh = [t for t in dict.fromkeys(texts) if isinstance(t, str) and t not in seen]
+        found = dict(zip(fresh, find_all(tagger, fresh)))
+        result = [(found[t] if t in found else seen[t]) if isinstance(t, str) else [] for t in texts]
+        if len(seen) + len(found) > MEMORY:
+            seen.clear()
+        seen.update((t, s) for t, s in found.items() if len(t) <= 500)
+        return result
 
     return find
 
@@ -101,8 +108,8 @@ def mentions(df: DataFrame, text: str, keys: list[str], weights: str = WEIGHTS)
             found = find(pdf["_text"].tolist())
             at = np.repeat(np.arange(len(pdf)), [len(x) for x in found])
             flat = [s for x in found for s in x]
-            out = pdf[keys].iloc[at].reset_index(drop=True)
-            out["pii_type"] = [s[2] for s in flat]
+            out = pd.DataFrame({k: pdf[k].to_numpy(object)[at] for k in keys})
+            out["pii_type"] = np.array([s[2] for s in flat], object)
             out["start_at"] = np.array([s[0] + 1 for s in flat], np.int32)
             out["end_at"] = np.array([s[1] for s in flat], np.int32)
             yield out

@@ -142,7 +142,7 @@ def _worker(pipe, seed: int, given: list[str], family: list[str], n: int) -> Non
         pipe.send(gradients(Tagger(w), *batch_of(maker, n, rng)))
 
 
-def train(given: list[str], family: list[str], minutes: float = 6, hidden: int = 48, seed: int = 1, workers: int = 8, log=print) -> Tagger:
+def train(given: list[str], family: list[str], minutes: float = 6, hidden: int = 36, seed: int = 1, workers: int = 8, log=print) -> Tagger:
     m = Tagger.fresh(hidden, seed)
     context = multiprocessing.get_context("fork")
     pipes, crew = [], []
