@@ -176,20 +176,30 @@ class Tagger:
     def has_mention(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Whether the best sequence of each row of (B, T, K) leaves O: its score against that of all O, without pointers."""
         b, t, _ = scores.shape
-        trans = self.w["trans"] + forbidden()
+        trans = self.w["trans"]
         first = self.w["first"].copy()
         first[2::2] = -1e4
-        now = scores[:, 0] + first
-        plain = now[:, 0].copy()
         order = np.argsort(-lengths, kind="stable")
-        now, plain, rows = now[order], plain[order], scores[order]
+        e = np.ascontiguousarray(scores[order].transpose(1, 2, 0))  # T, K, B
         live = np.searchsorted(-lengths[order], -np.arange(t), side="left")  # rows longer than s come first
+        outer = np.array([0, *range(1, K, 2)])  # O and B-x follow any tag; I-x follows B-x and I-x only
+        into = np.ascontiguousarray(trans[:, outer])[:, :, None]
+        from_b, from_i = trans[np.arange(1, K, 2), np.arange(2, K, 2)][:, None], trans[np.arange(2, K, 2), np.arange(2, K, 2)][:, None]
+        now = e[0] + first[:, None]
+        plain = now[0].copy()
         for s in range(1, t):
             n = int(live[s])
-            now[:n] = (now[:n, :, None] + trans[None]).max(1) + rows[:n, s]
-            plain[:n] += trans[0, 0] + rows[:n, s, 0]
+            if not n:
+                break
+            old = now[:, :n]
+            nxt = np.empty_like(old)
+            nxt[outer] = (old[:, None, :] + into).max(0)
+            nxt[2::2] = np.maximum(old[1::2] + from_b, old[2::2] + from_i)
+            nxt += e[s, :, :n]
+            now[:, :n] = nxt
+            plain[:n] += trans[0, 0] + e[s, 0, :n]
         out = np.zeros(b, bool)
-        out[order] = now.max(1) > plain + 1e-3
+        out[order] = now.max(0) > plain + 1e-3
         return out
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -230,7 +240,7 @@ def windows_of(n: int) -> list[tuple[int, int]]:
     return [(a, min(a + WINDOW, n)) for a in starts]
 
 
-def tag_texts(tagger: Tagger, texts: list[str], batch_chars: int = 24_000) -> list[list[tuple[int, int, str]]]:
+def tag_texts(tagger: Tagger, texts: list[str], batch_chars: int = 48_000) -> list[list[tuple[int, int, str]]]:
     """Spans of each text.
 
     Windows of all texts are scored in batches of similar length. Where windows
@@ -238,22 +248,41 @@ def tag_texts(tagger: Tagger, texts: list[str], batch_chars: int = 24_000) -> li
     window's inner edges; one decoding over the whole text then reconciles them.
     """
     coded = [encode(t) for t in texts]
-    wins = [(i, a, z) for i, c in enumerate(coded) for a, z in windows_of(len(c))]
-    wins.sort(key=lambda w: w[2] - w[1])
-    total = [np.zeros((len(c), K), np.float32) for c in coded]
-    weight = [np.zeros(len(c), np.float32) for c in coded]
-    at = 0
-    while at < len(wins):
-        n = 1
-        while at + n < len(wins) and (wins[at + n][2] - wins[at + n][1]) * (n + 1) <= batch_chars:
-            n += 1
-        part = wins[at : at + n]
-        at += n
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+
+    def batches(jobs: list, length):
+        jobs = sorted(jobs, key=length)
+        at = 0
+        while at < len(jobs):
+            n = 1
+            while at + n < len(jobs) and length(jobs[at + n]) * (n + 1) <= batch_chars:
+                n += 1
+            yield jobs[at : at + n]
+            at += n
+
+    def decode(rows: list[int], scores: np.ndarray, lengths: np.ndarray) -> None:
+        some = np.flatnonzero(tagger.has_mention(scores, lengths))
+        if len(some):
+            for r, y in zip(some, tagger.viterbi(scores[some], lengths[some])):
+                out[rows[r]] = spans_of(y)
+
+    def score(part: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([z - a for _, a, z in part])
-        ids = np.zeros((n, int(lengths.max())), np.int64)
+        ids = np.zeros((len(part), int(lengths.max())), np.int64)
         for r, (i, a, z) in enumerate(part):
             ids[r, : z - a] = coded[i][a:z]
-        e = tagger.emissions(ids, lengths)
+        return tagger.emissions(ids, lengths), lengths
+
+    wins = [(i, a, z) for i, c in enumerate(coded) for a, z in windows_of(len(c))]
+    size = lambda w: w[2] - w[1]
+    for part in batches([w for w in wins if size(w) == len(coded[w[0]])], size):
+        decode([i for i, _, _ in part], *score(part))
+
+    several = [w for w in wins if size(w) < len(coded[w[0]])]
+    total = {i: np.zeros((len(coded[i]), K), np.float32) for i, _, _ in several}
+    weight = {i: np.zeros(len(coded[i]), np.float32) for i in total}
+    for part in batches(several, size):
+        e, _ = score(part)
         for r, (i, a, z) in enumerate(part):
             x = np.arange(z - a)
             left = np.minimum(1.0, (x + 1) / OVERLAP) if a else np.ones(z - a)
@@ -261,22 +290,10 @@ def tag_texts(tagger: Tagger, texts: list[str], batch_chars: int = 24_000) -> li
             w = (left * right).astype(np.float32)
             total[i][a:z] += e[r, : z - a] * w[:, None]
             weight[i][a:z] += w
-    order = sorted(range(len(texts)), key=lambda i: len(coded[i]))
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    at = 0
-    while at < len(order):
-        n = 1
-        while at + n < len(order) and len(coded[order[at + n]]) * (n + 1) <= batch_chars:
-            n += 1
-        part = order[at : at + n]
-        at += n
-        lengths = np.array([len(coded[i]) for i in part])
-        if not lengths.max():
-            continue
-        scores = np.zeros((n, int(lengths.max()), K), np.float32)
-        for r, i in enumerate(part):
+    for rows in batches(list(total), lambda i: len(coded[i])):
+        lengths = np.array([len(coded[i]) for i in rows])
+        scores = np.zeros((len(rows), int(lengths.max()), K), np.float32)
+        for r, i in enumerate(rows):
             scores[r, : lengths[r]] = total[i] / np.maximum(weight[i], 1e-6)[:, None]
-        some = np.flatnonzero(tagger.has_mention(scores, lengths))
-        for r, y in zip(some, tagger.viterbi(scores[some], lengths[some]) if len(some) else []):
-            out[part[r]] = spans_of(y)
+        decode(rows, scores, lengths)
     return out
