@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.session import spread
+
 FIELDS = ("review_id", "product_id", "rating", "review_text", "source", "created_at", "updated_at", "schema_version", "customer_id_hash")
 REQUIRED = ("review_id", "product_id", "review_text", "source", "created_at")
 QUOTE_COST = 1 << 32  # more than all delimiter edits of a record together
@@ -373,7 +375,7 @@ _SCHEMA = "source_table string, record_key string, reason string, edits string,
 
 
 def error_parse(records: DataFrame) -> DataFrame:
-    """Parse every record once. ``records``: source_table, record_key, record, format. No shuffle."""
+    """Parse every record once. ``records``: source_table, record_key, record, format. No shuffle but to spread a small input."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["reason", "edits", "edit_cost", *FIELDS]
@@ -384,7 +386,7 @@ def error_parse(records: DataFrame) -> DataFrame:
             res.insert(0, "source_table", pdf["source_table"].to_numpy())
             yield res
 
-    return records.select("source_table", "record_key", "record", "format").mapInPandas(run, _SCHEMA)
+    return spread(records.select("source_table", "record_key", "record", "format")).mapInPandas(run, _SCHEMA)
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

@@ -62,6 +62,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores.
+
+    For operators whose work is in Python: an input of fewer splits than cores is
+    dealt out evenly first; any larger input is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_or_none(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> int | None:
     """Row count of ``df`` if ``count * row_bytes`` is below ``limit``, else None.
 
