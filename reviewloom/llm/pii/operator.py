@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom.llm.pii.model import Tagger, tag_texts
+from reviewloom.session import spread
 
 MEMORY = 100_000  # texts of up to 500 characters that a task remembers
 WEIGHTS = str(Path(__file__).with_name("tagger.npz"))
@@ -100,7 +101,7 @@ def _finder(weights: str):
 def mentions(df: DataFrame, text: str, keys: list[str], weights: str = WEIGHTS) -> DataFrame:
     """One row per mention: the key columns, pii_type, start_at and end_at (characters from 1, end included)."""
     find = _finder(weights)
-    rows = df.select(*keys, F.col(text).alias("_text"))
+    rows = spread(df.select(*keys, F.col(text).alias("_text")))
     schema = T.StructType([f for f in rows.schema.fields if f.name != "_text"] + list(MENTION.elementType.fields))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

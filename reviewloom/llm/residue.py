@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.folding import GramTable, fold, fold_all, grams
+from reviewloom.session import spread
 
 DEPTH = 4  # tokens that name a leaf
 LINES = 3  # lines that a message may take
@@ -295,7 +296,7 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text")
     """(key, line_no, kind) of every residue line."""
     detector = Detector(residue_templates(documents, text), known_words(documents, text))
     shared = documents.sparkSession.sparkContext.broadcast(detector)
-    rows = documents.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") > 0))
+    rows = spread(documents.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") > 0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = shared.value
