@@ -1,3 +1,3 @@
-"""reviewloom: a PySpark-native engine for customer-feedback lakehouses."""
+"""reviewloom: a PySpark-native engine for customer-review data."""
 
 __version__ = "0.1.0"
