@@ -102,7 +102,8 @@ def grams(symbols: np.ndarray, n: int) -> np.ndarray:
 class GramTable:
     """Sorted n-grams with the (owner, place) pairs that have them; looked up through a bit filter."""
 
-    def __init__(self, symbols: list[np.ndarray], n: int, most: int | None = None):
+    def __init__(self, symbols: list[np.ndarray], n: int, most: int | None = None, always: list[np.ndarray] | None = None):
+        """n-grams of more than ``most`` places are left out, except the places marked in ``always`` (per owner, one flag per n-gram)."""
         assert n * BITS <= 62
         self.n = n
         cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
@@ -112,8 +113,9 @@ class GramTable:
         place = cat([np.arange(len(x), dtype=np.int32) for x in g], np.int32)
         order = np.argsort(codes, kind="stable")
         codes, owner, place = codes[order], owner[order], place[order]
+        forced = cat(always or [], bool)[order] if always else np.zeros(len(codes), bool)
         _, inverse, count = np.unique(codes, return_inverse=True, return_counts=True)
-        keep = np.ones(len(codes), bool) if most is None else count[inverse] <= most
+        keep = np.ones(len(codes), bool) if most is None else (count[inverse] <= most) | forced
         self.owner, self.place = owner[keep], place[keep]
         self.codes, self.start = np.unique(codes[keep], return_index=True)
         self.end = np.append(self.start[1:], int(keep.sum()))
@@ -124,6 +126,17 @@ class GramTable:
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def index(self, symbols: np.ndarray) -> np.ndarray:
+        """The number of the n-gram that begins at each symbol; -1 for none in the table."""
+        out = np.full(len(symbols), -1, np.int32)
+        if len(self.codes):
+            g = grams(symbols, self.n)
+            maybe = np.flatnonzero(self.filter[self._slot(g)] & (g >= 0))
+            k = np.minimum(np.searchsorted(self.codes, g[maybe]), len(self.codes) - 1)
+            ok = self.codes[k] == g[maybe]
+            out[maybe[ok]] = k[ok]
+        return out
+
     def hits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(symbol index, owner, place, weight) of every window in the table; a window of k entries weighs 1/k."""
         z = np.zeros(0, np.int64)

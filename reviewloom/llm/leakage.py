@@ -9,8 +9,11 @@
    broadcast to the executors behind a check of its size. Every window of every
    document is looked up in it; hits are counted per block of the document and
    item, each place of the item once.
-3. *Verify.* For a block and item with enough hits, a local alignment places the
-   item's characters in the document. It may jump forward, over an advert or the
+   A few hits are enough; then all characters of the item count: some
+   ``MIN_WORDS`` words in a row must be covered by short windows of the block,
+   with at most one long word missing.
+3. *Verify.* For each block and item left, a local alignment, run for many of
+   them at once, places the item's characters in the document. It may jump forward, over an advert or the
    line of another column, at a fixed cost. A word of the item is found if its
    edits are few (a single word with more of them doesn't end a run); an item
    leaks if at least ``min_words`` consecutive words are
@@ -31,19 +34,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.folding import GramTable, fold, fold_all
+from reviewloom.llm.folding import GramTable, fold, fold_all, grams
 from reviewloom.session import BROADCAST_LIMIT_BYTES, spread
 
 GRAM = 8  # folded characters of a window
 BLOCK, STEP = 768, 384  # folded characters of a block and between their starts
 SPAN = 72  # folded characters of about twelve words
-RARE = 8  # windows that more places of the test set share are stock phrases and don't vote
-MIN_HITS = 22  # distinct places of the item hit within one SPAN of it: twelve words have about forty, misreads may cost half
+RARE = 8  # windows that more places of the test set share are stock phrases and vote only where there are too few others
+ENOUGH = 12  # windows in the table that any MIN_WORDS words of an item have, or all of theirs
+MIN_HITS = 4  # distinct places of the item hit within one SPAN of it: twelve words have about forty, a misread may cost eight
+SHORT = 6  # folded characters of the windows that cover an item's words
+LONG = 5  # folded characters of a word that may count as missing
+COVERED = 0.4  # share of a word's characters below which it is missing
+SHARE = 0.6  # share of the characters of MIN_WORDS words that must be covered
+BLOCKS = 64  # blocks whose windows are held at once
+TOGETHER = 64  # alignments run at once
 BATCH_CHARS = 1_000_000  # characters folded at once
-MIN_WEIGHT = 9.0  # and the sum of their weights: a window that k places of the test set share weighs 1/k
 MIN_WORDS = 12
 COLUMN_GAP = 60  # pixels between the left edges of lines of different columns
-MARGIN = 96  # folded characters aligned on both sides of the outermost hits
+MARGIN = 24  # folded characters aligned on both sides of the covered part of the item and of the block
 PIECE = 5  # words of the item that a piece at the end of a passage must hold
 MATCH, MISMATCH, GAP, JUMP = 2, -3, -3, -36
 FAR = 320  # folded characters that one jump may pass: an advert, or a line of each other column
@@ -85,100 +94,188 @@ class Items:
             self.ids.append(own)
             self.symbols.append(symbols)
             self.words.append(words)
-        self.table = GramTable(self.symbols, GRAM, RARE)
-
-
-def candidates(at: np.ndarray, item: np.ndarray, place: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> list[tuple[int, float, int, int, int, int]]:
-    """(text, weight, block, item, first place, last place) where one SPAN of an item has MIN_HITS distinct hits of MIN_WEIGHT together."""
-    out: list[tuple[int, float, int, int, int, int]] = []
+        always, self.reach = [], []
+        every = [grams(s, GRAM) for s in self.symbols]
+        _, inverse, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True) if every else (0, np.zeros(0, int), np.zeros(0, int))
+        rare, at = count[inverse] <= RARE, 0
+        for s, words, g in zip(self.symbols, self.words, every):
+            n = int(words[-1]) + 1
+            bound = np.searchsorted(words, np.arange(n + 1))
+            first, last = bound[: max(0, n - MIN_WORDS + 1)], bound[MIN_WORDS:]
+            self.reach.append(int((last - first).max(initial=0)))
+            few = np.concatenate([[0], np.cumsum(rare[at : at + len(g)])])
+            last = np.minimum(last - GRAM + 1, len(g))
+            mark = np.zeros(len(g) + 1, int)
+            for a, z in zip(first.tolist(), last.tolist()):
+                if z > a and few[z] - few[a] < ENOUGH:
+                    mark[a] += 1
+                    mark[z] -= 1
+            always.append(np.cumsum(mark)[:-1] > 0)
+            at += len(g)
+        self.table = GramTable(self.symbols, GRAM, RARE, always)
+        self.offset = np.concatenate([[0], np.cumsum([len(s) for s in self.symbols])]).astype(np.int64)
+        self.reach = np.array(self.reach, np.int64)
+        self.short = GramTable(self.symbols, SHORT)
+        self.slots = np.concatenate([self.short.index(s) for s in self.symbols]) if self.symbols else np.zeros(0, np.int32)
+        self.word_of = np.concatenate(self.words) if self.words else np.zeros(0, int)
+
+
+def candidates(at: np.ndarray, item: np.ndarray, place: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, block, item, first place, last place) where one SPAN of an item has MIN_HITS distinct hits."""
+    z = np.zeros(0, np.int64)
     if not len(at):
-        return out
+        return z, z, z, z, z
     text = np.searchsorted(starts, at, side="right") - 1
     block = (at - starts[text]) // STEP
     first_block = np.concatenate([[0], np.cumsum(np.diff(starts) // STEP + 1)])
     shifts = range(BLOCK // STEP)
     key = np.concatenate([((first_block[text] + block - k) << 42) | (item << 20) | place for k in shifts])
-    ok = np.concatenate([block >= k for k in shifts])
-    key, pick = np.unique(key[ok], return_index=True)
-    w = np.concatenate([weight] * len(shifts))[ok][pick]
-    pair = key >> 20
+    key = np.sort(key[np.concatenate([block >= k for k in shifts])])
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    dense = np.flatnonzero(key[MIN_HITS - 1 :] - key[: max(0, len(key) - MIN_HITS + 1)] < SPAN)
+    if not len(dense):
+        return z, z, z, z, z
+    pair = key[dense] >> 20
     lead = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    ends = np.append(lead[1:], len(pair))
-    strong = np.flatnonzero((ends - lead >= MIN_HITS) & (np.add.reduceat(w, lead) >= MIN_WEIGHT))
-    for g in strong.tolist():
-        a, z = int(lead[g]), int(ends[g])
-        p = key[a:z] & ((1 << 20) - 1)
-        total = np.concatenate([[0], np.cumsum(w[a:z])])
-        upto = np.searchsorted(p, p + SPAN)
-        good = np.flatnonzero((upto - np.arange(len(p)) >= MIN_HITS) & (total[upto] - total[:-1] >= MIN_WEIGHT))
-        if len(good):
-            b = int(pair[a] >> 22)
-            t = int(np.searchsorted(first_block, b, side="right")) - 1
-            out.append((t, float(total[-1]), b - int(first_block[t]), int(pair[a] & ((1 << 22) - 1)), int(p[good[0]]), int(p[upto[good[-1]] - 1])))
-    return out
-
-
-def _window_max(row: np.ndarray, width: int) -> np.ndarray:
-    """At each place the largest of the last ``width`` values (running maxima of blocks, from both sides)."""
-    n = len(row)
-    blocks = -(-n // width)
-    pad = np.zeros(blocks * width, row.dtype)
-    pad[:n] = row
-    grid = pad.reshape(blocks, width)
-    left = np.maximum.accumulate(grid, axis=1).ravel()[:n]
-    right = np.maximum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
-    out = left.copy()
-    if n >= width:
-        out[width - 1 :] = np.maximum(out[width - 1 :], right[: n - width + 1])
+    last = dense[np.append(lead[1:], len(pair)) - 1] + MIN_HITS - 1
+    pair = pair[lead]
+    b = pair >> 22
+    t = np.searchsorted(first_block, b, side="right") - 1
+    return t, b - first_block[t], pair & ((1 << 22) - 1), key[dense[lead]] & ((1 << 20) - 1), key[last] & ((1 << 20) - 1)
+
+
+def covered(items: Items, symbols: np.ndarray, starts: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Per candidate the first and last place of the item in MIN_WORDS words in a row that short windows of the block cover; last is -1 if there are none."""
+    t, block, k, lo, hi = found
+    begin, finish = np.full(len(t), np.iinfo(np.int64).max), np.full(len(t), -1, np.int64)
+    if not len(t):
+        return begin, finish
+    a = items.offset[k] + np.maximum(0, lo - items.reach[k])
+    z = np.minimum(items.offset[k + 1], items.offset[k] + hi + GRAM + items.reach[k])
+    slots, most = items.short.index(symbols), len(items.short.codes)
+    own, row = np.unique((t << 32) | block, return_inverse=True)
+    order = np.argsort(row, kind="stable")
+    size = np.cumsum((z - a)[order])
+    at = 0
+    while at < len(order):  # as many candidates as have about a million characters, and no more than BLOCKS blocks
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + 1_000_000, side="right"))
+        end = max(at + 1, min(end, int(np.searchsorted(row[order], row[order[at]] + BLOCKS))))
+        pick = order[at:end]
+        at = end
+        base = int(row[pick[0]])
+        have = np.zeros((int(row[pick[-1]]) - base + 1, most), bool)
+        for i, o in enumerate(own[base : base + len(have)].tolist()):
+            d = int(starts[o >> 32]) + (o & 0xFFFFFFFF) * STEP
+            here = slots[d : min(int(starts[(o >> 32) + 1]), d + BLOCK)]
+            have[i, here[here >= 0]] = True
+        n = z[pick] - a[pick]
+        head = np.cumsum(n) - n
+        index = np.repeat(a[pick] - head, n) + np.arange(n.sum())
+        slot = items.slots[index]
+        present = have.ravel()[np.repeat(row[pick] - base, n) * most + np.maximum(slot, 0)] & (slot >= 0)
+        for e in range(1, SHORT):
+            present[head + n - e] = False  # such a window goes on beyond the part looked at
+        cover = present.copy()
+        for e in range(1, SHORT):
+            cover[e:] |= present[:-e]
+        words = items.word_of[index]
+        new = np.concatenate([[True], words[1:] != words[:-1]])
+        new[head] = True
+        word = np.flatnonzero(new)
+        length = np.diff(np.append(word, len(index)))
+        hit = np.add.reduceat(cover.astype(np.int32), word)
+        lost = np.concatenate([[0], np.cumsum((length >= LONG) & (hit < COVERED * length))])
+        total, length = np.concatenate([[0], np.cumsum(hit)]), np.concatenate([[0], np.cumsum(length)])
+        place = index - items.offset[k[pick]].repeat(n)
+        owner = np.searchsorted(head, word, side="right") - 1
+        i = np.arange(max(0, len(word) - MIN_WORDS + 1))
+        j = i + MIN_WORDS
+        ok = (owner[i] == owner[j - 1]) & (lost[j] - lost[i] <= 1) & (total[j] - total[i] >= SHARE * (length[j] - length[i]))
+        i, j = i[ok], j[ok]
+        np.minimum.at(begin, pick[owner[i]], place[word[i]])
+        np.maximum.at(finish, pick[owner[i]], place[np.append(word, len(index))[j] - 1])
+    return begin, finish
+
+
+def _running(row: np.ndarray, width: int, cost: int) -> np.ndarray:
+    """Largest of each row's last ``width`` values, each less ``cost`` for every step back; ``width`` steps at least, in doublings."""
+    out, w = row.copy(), 1
+    while w < width:
+        by = min(w, width - w)
+        np.maximum(out[:, by:], out[:, :-by] + out.dtype.type(cost * by), out=out[:, by:])  # the right side is made before it is written
+        w += by
     return out
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
     """Best local alignment with jumps: pairs (item place, document place) of equal symbols."""
-    n, m = len(item), len(doc)
-    if not n or not m:
-        return []
-    cols = np.arange(m + 1)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    step = GAP * cols
-    best, where = 0, (0, 0)
+    return align_all([(item, doc)])[0]
+
+
+def align_all(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[int, int]]]:
+    """``align`` for many (item, document), padded and computed together.
+
+    A gap of more than JUMP / GAP characters in the document costs as much as a
+    jump, so gaps are followed no further than that.
+    """
+    c = len(parts)
+    n, m = max(len(i) for i, _ in parts), max(len(d) for _, d in parts)
+    kind = np.int16 if 2 * n - GAP * m < 30_000 else np.int32
+    item, doc = np.zeros((n, c), np.uint8), np.full((c, m), 255, np.uint8)
+    for k, (i, d) in enumerate(parts):
+        item[: len(i), k], doc[k, : len(d)] = i, d
+    score = np.zeros((n + 1, c, m + 1), kind)
+    best, where_i, where_j = np.zeros(c, kind), np.zeros(c, int), np.zeros(c, int)
+    value = np.full((int(item.max()) + 1, c, m), MISMATCH, kind)  # by symbol of the item; 0 is the padding and equals nothing
+    for v in range(1, len(value)):
+        value[v][doc == v] = MATCH
+    gap, span, every = kind(GAP), min(-(JUMP // -GAP) + 2, m + 1), np.arange(c)
     for i in range(1, n + 1):
-        prev = score[i - 1]
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = prev[:-1] + np.where(doc == item[i - 1], MATCH, MISMATCH)
-        np.maximum(row, prev + GAP, out=row)
+        prev, row = score[i - 1], score[i]
+        np.add(value[item[i - 1], every], prev[:, :-1], out=row[:, 1:])
+        np.maximum(row, prev + gap, out=row)
         np.maximum(row, 0, out=row)
-        extra = np.maximum.accumulate(row - step) + step
-        np.maximum(row, extra, out=row)
-        if best > -JUMP:
-            np.maximum(row[1:], (_window_max(row, FAR) + JUMP)[:-1], out=row[1:])
-        score[i] = row
-        j = int(row.argmax())
-        if row[j] > best:
-            best, where = int(row[j]), (i, j)
-    i, j = where
-    pairs = []
-    while i > 0 and j > 0 and score[i, j] > 0:
-        s = score[i, j]
-        same = doc[j - 1] == item[i - 1]
-        if s == score[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            if same:
-                pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif s == score[i - 1, j] + GAP:
-            i -= 1
-        else:
-            a = max(0, j - FAR)
-            left = score[i, a:j]
-            near = np.flatnonzero(left + GAP * (j - cols[a:j]) == s)
-            if len(near):
-                j = a + int(near[-1])
+        row[:] = _running(row, span, GAP)
+        able = np.flatnonzero(best > -JUMP)
+        if len(able):
+            some = row[able]
+            np.maximum(some[:, 1:], (_running(some, min(FAR, m + 1), 0) + kind(JUMP))[:, :-1], out=some[:, 1:])
+            row[able] = some
+        j = row.argmax(axis=1)
+        top = row[every, j]
+        up = top > best
+        best[up], where_i[up], where_j[up] = top[up], i, j[up]
+    pairs: list[list[tuple[int, int]]] = [[] for _ in parts]
+    live = np.flatnonzero(best > 0)
+    i, j = where_i.copy(), where_j.copy()
+    while len(live):
+        a, b = i[live], j[live]
+        s = score[a, live, b].astype(np.int64)
+        live, a, b, s = (x[(s > 0) & (a > 0) & (b > 0)] for x in (live, a, b, s))
+        if not len(live):
+            break
+        same = item[a - 1, live] == doc[live, b - 1]
+        diagonal = s == score[a - 1, live, b - 1] + np.where(same, MATCH, MISMATCH)
+        above = ~diagonal & (s == score[a - 1, live, b] + GAP)
+        for k, x, y in zip(live[diagonal & same].tolist(), (a - 1)[diagonal & same].tolist(), (b - 1)[diagonal & same].tolist()):
+            pairs[k].append((x, y))
+        i[live] -= diagonal | above
+        j[live] -= diagonal
+        ended = []
+        for k in np.flatnonzero(~(diagonal | above)).tolist():
+            t, x, y = int(live[k]), int(a[k]), int(b[k])
+            first = max(0, y - FAR)
+            left = score[x, t, first:y].astype(np.int64)
+            steps = np.flatnonzero(left + GAP * (y - np.arange(first, y)) == s[k])
+            if not len(steps):
+                steps = np.flatnonzero(left + JUMP == s[k])
+            if not len(steps):
+                ended.append(t)
                 continue
-            far = np.flatnonzero(left + JUMP == s)
-            if not len(far):
-                break
-            j = a + int(far[-1])
-    return pairs[::-1]
+            j[t] = first + int(steps[-1])
+        if ended:
+            live = live[~np.isin(live, ended)]
+    return [p[::-1] for p in pairs]
 
 
 GOOD, WEAK, LOST = 2, 1, 0
@@ -194,9 +291,10 @@ def graded_words(words: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
     for i, j in pairs:
         w = words[i]
         hit[w] += 1
-        if last is not None and words[last[0]] == w:
+        if last is not None:
             between, missing = j - last[1] - 1, i - last[0] - 1
-            if between > missing and between <= 6:  # more than that is a jump: the word was broken over columns
+            # more than that is a jump: the word was broken over columns. A stray letter may stand between words, but no more
+            if between > missing + (words[last[0]] != w) and between <= 6:
                 extra[w] += between - missing
         last = (i, j)
     edits = size - hit + extra
@@ -237,30 +335,34 @@ def leaks_of(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, i
     symbols, at, _, starts = fold_all(texts)
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: set[tuple[int, int, int]] = set()
-    hit, item, place, weight = items.table.hits(symbols)
-    found = candidates(hit, item, place, weight, starts)
-    owner = ((np.searchsorted(starts, hit, side="right") - 1) << 22) | item
-    order = np.argsort(owner, kind="stable")
-    owner, hit = owner[order], hit[order]
-    for t, _, block, k, lo, hi in sorted(found, key=lambda c: (c[0], -c[1], c[2])):
-        # a neighbour that holds more of the item has been aligned with this block's half
-        if best.get((t, k), (0, 0, 0))[0] >= MIN_WORDS or (t, block - 1, k) in tried or (t, block + 1, k) in tried:
-            continue
-        tried.add((t, block, k))
-        sym, words = items.symbols[k], items.words[k]
-        a, z = max(0, lo - SPAN), min(len(sym), hi + GRAM + SPAN)
-        base, end = int(starts[t]), int(starts[t + 1]) - 1
-        near = hit[np.searchsorted(owner, (t << 22) | k) : np.searchsorted(owner, (t << 22) | k, side="right")]
-        near = near[(near >= base + (block - 1) * STEP) & (near < base + (block + 1) * STEP + BLOCK)]
-        d0, d1 = max(base, int(near[0]) - MARGIN), min(end, int(near[-1]) + GRAM + MARGIN)
-        pairs = [(a + i, d0 + j) for i, j in align(sym[a:z], symbols[d0:d1])]
-        if not pairs:
-            continue
-        n, w0 = trimmed_run(*longest_run(graded_words(words, pairs)), words, pairs)
-        if n > best.get((t, k), (0, 0, 0))[0]:
-            inside = [j for i, j in pairs if w0 <= words[i] < w0 + n]
-            best[t, k] = (n, int(at[inside[0]]), int(at[inside[-1]]))
+    hit, item, place, _ = items.table.hits(symbols)
+    found = candidates(hit, item, place, starts)
+    begin, finish = covered(items, symbols, starts, found)
+    text, block, k, *_ = found
+    places: list[list[int]] = []
+    last: tuple[int, int, int] | None = None
+    keep = np.flatnonzero(finish >= 0)
+    for c in keep[np.lexsort((block[keep], k[keep], text[keep]))].tolist():
+        here, b, lo, hi = (int(text[c]), int(k[c])), int(block[c]), int(begin[c]), int(finish[c])
+        z = min(int(starts[here[0] + 1]) - 1, int(starts[here[0]]) + b * STEP + BLOCK + MARGIN)
+        if last == (*here, b - 1):  # two blocks that overlap are aligned together
+            places[-1][2:] = [min(places[-1][2], lo), max(places[-1][3], hi), places[-1][4], z]
+            last = None
+        else:
+            places.append([*here, lo, hi, max(int(starts[here[0]]), int(starts[here[0]]) + b * STEP - MARGIN), z])
+            last = (*here, b)
+    places.sort(key=lambda p: ((p[5] - p[4]) // 200, p[3] - p[2]))  # of like size together
+    for first in range(0, len(places), TOGETHER):
+        part = places[first : first + TOGETHER]
+        cut = [(max(0, lo - MARGIN), min(len(items.symbols[k]), hi + 1 + MARGIN)) for _, k, lo, hi, _, _ in part]
+        for (t, k, *_, d0, _), (a, _), got in zip(part, cut, align_all([(items.symbols[p[1]][a:z], symbols[p[4] : p[5]]) for p, (a, z) in zip(part, cut)])):
+            if not got:
+                continue
+            words, pairs = items.words[k], [(a + i, d0 + j) for i, j in got]
+            n, w0 = trimmed_run(*longest_run(graded_words(words, pairs)), words, pairs)
+            if n > best.get((t, k), (0, 0, 0))[0]:
+                inside = [j for i, j in pairs if w0 <= words[i] < w0 + n]
+                best[t, k] = (n, int(at[inside[0]]), int(at[inside[-1]]))
     for (t, k), v in best.items():
         out[t].append((k, *v))
     return out

@@ -55,6 +55,33 @@ def test_planted_leaks_and_near_misses(spark):
     assert leakage.find_leaks(doc_df.limit(0), item_df).count() == 0 and leakage.find_leaks(doc_df, item_df.limit(0)).count() == 0
 
 
+def test_short_passages_of_stock_forms_are_found_as_by_brute_force():
+    r = random.Random(8)
+    name = lambda: "".join(r.choice(["sed", "mel", "vin", "gar", "tor", "pol", "cran", "lin"]) for _ in range(2)) + r.choice(["by", "ham", "wick", "stow"])
+    goods, people, days = ["wool", "oats", "glass", "timber"], ["postmistress", "harbour master", "town clerk"], ["late on Wednesday", "this morning", "on Saturday night"]
+    forms = [
+        lambda: f"Under the second clause {name()} must give {name()} its {r.choice(goods)} whenever the {r.choice(people)} asks {r.choice(days)}.",
+        lambda: f"Explain why the {r.choice(people)} of {name()} thought the costly meeting less harmful than the storm of {r.randint(1, 400)}.",
+        lambda: f"The ledger kept by {name()} lists {r.choice(goods)}, {r.choice(goods)} and linen in that order for {name()}.",
+    ]
+    items = [" ".join(r.choice(forms)() for _ in range(3)) for _ in range(80)]
+    texts, planted = [], []
+    for rate in [0, 0.02, 0.04] * 40:
+        k = r.randrange(80)
+        words = items[k].split()
+        n = r.randint(12, 16)
+        a = r.randint(0, len(words) - n)
+        part = "".join(r.choice("bdgkmpwxz") if c.isalpha() and r.random() < rate else c for c in " ".join(words[a : a + n]))  # no misreads that folding undoes
+        texts.append(sentence(r, 30) + "\n" + part + "\n" + sentence(r, 20))
+        planted.append(k)
+    known = leakage.Items(list(range(80)), items)
+    of = [known.ids.index(next(i for i in known.ids if k in i)) for k in planted]
+    docs = [folding.fold(t)[0] for t in texts]
+    brute = {(d, k) for d, k in enumerate(of) if leakage.longest_run(leakage.graded_words(known.words[k], leakage.align(known.symbols[k], docs[d])))[0] >= 12}
+    found = {(d, k) for d, x in enumerate(leakage.leaks_of(known, texts)) for k, n, _, _ in x if n >= 12}
+    assert len(brute) > 100 and not brute - found
+
+
 def test_columns_are_read_in_order():
     text = "left one\nright one\nleft two\nright two"
     assert leakage.reading_order(text, [10, 500, 12, 502], [1, 1, 30, 30]) == "left one\nleft two\nright one\nright two"
@@ -73,6 +100,13 @@ def test_alignment_jumps_over_an_advert():
     assert known.ids[k] == [1] and n == 24
 
 
+def test_other_numbers_and_words_between_are_no_leak():
+    item = "A traveller walks 3 miles from Lehaven to Duntermouth, rests, and buys pounds of hides"
+    known = leakage.Items([1], [item])
+    for text in (item.replace(" 3 ", " 793 "), item.replace("Lehaven", "Castle Lehaven")):
+        assert all(n < 12 for _, n, _, _ in leakage.leaks_of(known, [text])[0])
+
+
 NEWS = ["The committee for the bridge met on Monday and voted.", "No apples could be had on Friday, and the rain held off.", "He read the error page by page, and found the 7 faults himself.", "The play follows the scripts of the old company and is required reading.", "The clerk wrote {sic} beside the name. [Continued on page 4.]", "The telephone exchange logged error 404 on line 4, and 4 calls were not found a way through."]
 
 
