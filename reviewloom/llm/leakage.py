@@ -27,6 +27,7 @@ between items are all reported; documents without boxes are read as they stand.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ BATCH_CHARS = 1_000_000  # characters folded at once
 MIN_WORDS = 12
 COLUMN_GAP = 60  # pixels between the left edges of lines of different columns
 MARGIN = 24  # folded characters aligned on both sides of the covered part of the item and of the block
-PIECE = 5  # words of the item that a piece at the end of a passage must hold
+PIECE = 3  # words of the item that a piece at the end of a passage must hold if any of them has an edit
 MATCH, MISMATCH, GAP, JUMP = 2, -3, -3, -36
 FAR = 320  # folded characters that one jump may pass: an advert, or a line of each other column
 MAX_ITEM_BYTES = 64 * 1024 * 1024
@@ -319,19 +320,76 @@ def longest_run(grades: np.ndarray) -> tuple[int, int]:
 
 
 def trimmed_run(n: int, w0: int, words: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[int, int]:
-    """The run without end pieces of fewer than PIECE words beyond a jump: a stock phrase elsewhere is no continuation."""
+    """The run without end pieces beyond a jump of fewer than PIECE words that have an edit: a stock phrase elsewhere is no continuation."""
     inside = [(i, j) for i, j in pairs if w0 <= words[i] < w0 + n]
     cuts = [int(words[b[0]]) for a, b in zip(inside, inside[1:]) if (b[1] - a[1]) - (b[0] - a[0]) > 12]
+    hit = np.bincount(words[[i for i, _ in inside]], minlength=w0 + n) if inside else np.zeros(w0 + n, int)
+    whole = hit[w0 : w0 + n] == np.bincount(words, minlength=w0 + n)[w0 : w0 + n]
     lo, hi = w0, w0 + n
-    while cuts and cuts[0] - lo < PIECE:
+    while cuts and cuts[0] - lo < PIECE and not whole[lo - w0 : cuts[0] - w0].all():
         lo = cuts.pop(0)
-    while cuts and hi - cuts[-1] < PIECE:
+    while cuts and hi - cuts[-1] < PIECE and not whole[cuts[-1] - w0 : hi - w0].all():
         hi = cuts.pop()
     return hi - lo, lo
 
 
+_SEPARATOR = re.compile(r"[ \t]+\|[ \t]+|[ \t]{3,}|\t")
+
+
+def columns_apart(text: str) -> tuple[str, np.ndarray] | None:
+    """The text with columns that were joined into lines set one after the other, and its characters' places; None if there are none."""
+    if "|" not in text and "   " not in text and "\t" not in text:
+        return None
+    parts: list[tuple[int, int]] = []
+    run: list[list[tuple[int, int]]] = []
+    apart = False
+
+    def close() -> None:
+        nonlocal apart
+        apart |= len(run) > 1
+        rows = run if len(run) > 1 else [[(r[0][0], r[-1][1])] for r in run]
+        for c in range(max(map(len, rows), default=0)):
+            parts.extend(r[c] for r in rows if c < len(r))
+        run.clear()
+
+    begin = 0
+    for line in text.split("\n"):
+        cells, at = [], begin
+        for m in _SEPARATOR.finditer(line):
+            cells.append((at, begin + m.start()))
+            at = begin + m.end()
+        cells.append((at, begin + len(line)))
+        if len(cells) < 2:
+            close()
+            parts.append(cells[0])
+        else:
+            run.append(cells)
+        begin += len(line) + 1
+    close()
+    if not apart:
+        return None
+    places = np.concatenate([np.append(np.arange(a, z), z) for a, z in parts])
+    return "\n".join(text[a:z] for a, z in parts), places
+
+
 def leaks_of(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-    """Per text: (item, words found in a row, first and last character) for every candidate, best per item."""
+    """Per text: (item, words found in a row, first and last character) for every candidate, best per item.
+
+    Texts with joined columns are read both as they stand and column by column.
+    """
+    apart = [(i, *c) for i, t in enumerate(texts) if (c := columns_apart(t)) is not None]
+    out = scan(items, [*texts, *(c[1] for c in apart)])
+    for (i, _, places), found in zip(apart, out[len(texts) :]):
+        best = {x[0]: x for x in out[i]}
+        for k, n, a, z in found:
+            if k not in best or n > best[k][1]:
+                best[k] = (k, n, int(places[a : z + 1].min()), int(places[a : z + 1].max()))
+        out[i] = list(best.values())
+    return out[: len(texts)]
+
+
+def scan(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+    """``leaks_of`` for texts as they stand."""
     symbols, at, _, starts = fold_all(texts)
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}

@@ -100,6 +100,23 @@ def test_alignment_jumps_over_an_advert():
     assert known.ids[k] == [1] and n == 24
 
 
+def test_passages_in_pieces_of_joined_columns_and_beside_adverts():
+    r = random.Random(11)
+    item = "Neither Talowen Pellriwick nor Brera Stenlingholt would sign until the quarry foreman of Torterby insured the night school again"
+    words = item.split()
+    known = leakage.Items([1], [item])
+    advert = "BUY OUR SPLENDID PRINTED UMBRELLAS AT QUAY"
+    texts = [f"{sentence(r, 15)} {' '.join(words[2:6])}\n{advert}\n{' '.join(words[6:14])} {sentence(r, 15)}"]
+    for size in (2, 3, 4):  # words of a column's line
+        left = [" ".join(words[2:14][k : k + size]) for k in range(0, 12, size)]
+        for mark in (" | ", "     "):
+            texts.append("\n".join(f"{a}{mark}{sentence(r, size + 2)}" for a in [sentence(r, size), *left, sentence(r, size)]))
+    for text in texts:
+        (k, n, a, z), *_ = leakage.leaks_of(known, [text])[0]
+        assert n >= 12 and a <= text.index(words[2]) and z >= text.index(words[13]) + len(words[13]) - 1
+    assert leakage.columns_apart("one line only | here\nand none") is None
+
+
 def test_other_numbers_and_words_between_are_no_leak():
     item = "A traveller walks 3 miles from Lehaven to Duntermouth, rests, and buys pounds of hides"
     known = leakage.Items([1], [item])
