@@ -61,19 +61,27 @@ MAX_ITEM_BYTES = 64 * 1024 * 1024
 
 def reading_order(text: str, x, y) -> str:
     """The lines column by column, if the boxes' corners show more than one column; else the text."""
-    if x is None or y is None or len(x) < 2 or len(x) != text.count("\n") + 1:
+    order = line_order(text, x, y)
+    if order is None:
         return text
+    lines = text.split("\n")
+    return "\n".join(lines[i] for i in order)
+
+
+def line_order(text: str, x, y) -> np.ndarray | None:
+    """The numbers of the lines column by column; None if the boxes' corners don't show more than one column."""
+    if x is None or y is None or len(x) < 2 or len(x) != text.count("\n") + 1:
+        return None
     x, y = np.asarray(x, float), np.asarray(y, float)
     if np.isnan(x).any() or np.isnan(y).any():
-        return text
+        return None
     order = np.argsort(x, kind="stable")
     gaps = np.diff(x[order]) > COLUMN_GAP
     if not gaps.any():
-        return text
+        return None
     column = np.empty(len(x), int)
     column[order] = np.concatenate([[0], np.cumsum(gaps)])
-    lines = text.split("\n")
-    return "\n".join(lines[i] for i in np.lexsort((np.arange(len(x)), y, column)))
+    return np.lexsort((np.arange(len(x)), y, column))
 
 
 class Items:

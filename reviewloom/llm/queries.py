@@ -41,8 +41,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
-    return residue.without_residue(documents, residue.find_residue(documents)).drop("text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars", "boxes")
+    return residue.without_residue(documents, residue.find_residue(documents)).drop("text", "boxes")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_redacted, p7_packed, p8_found, p8_clean, p9_found, p9_clean)}

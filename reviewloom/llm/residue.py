@@ -22,6 +22,7 @@ are content.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.folding import GramTable, fold, fold_all, grams
+from reviewloom.llm.leakage import line_order
 from reviewloom.session import spread
 
 DEPTH = 4  # tokens that name a leaf
@@ -206,16 +208,37 @@ def filler_line(line: str, known: set[str]) -> float:
         again = sum(w == words[k - 1] or (k > 1 and w == words[k - 2]) for k, w in enumerate(words) if k)
         if again >= 0.5 * len(words):
             return 2
+    if any(c.isdigit() for c in line):  # numbers say nothing, but with many of them it is a list, or a bad scan
+        if 4 * sum(any(c.isdigit() for c in t) for t in tokens) > len(tokens):
+            return 0
+        line = " ".join(t for t in tokens if not any(c.isdigit() for c in t))
     words = [w for w in _WORD.findall(line) if len(w) >= 3]
     if len(words) < 3:
         return -1
-    if any(c.isdigit() for c in line):
-        return 0
     small = sum(w[0].islower() for w in words)
     unknown = sum(w.lower() not in known for w in words)
     return 1 if unknown >= 0.8 * len(words) and small >= 0.6 * len(words) and len(words) >= 3 else 0
 
 
+_BROKEN = re.compile(r"(\w+)[-¬=\xad] ?$")
+
+
+def whole_lines(lines: list[str]) -> list[str]:
+    """The lines with each broken word whole at the end of its first line."""
+    out = list(lines)
+    for k in range(len(out) - 1):
+        if m := _BROKEN.search(out[k]):
+            first, _, rest = out[k + 1].lstrip().partition(" ")
+            out[k], out[k + 1] = out[k][: m.end(1)] + first, rest
+    return out
+
+
+def all_unknown(line: str, known: set[str]) -> bool:
+    """Whether the line is of at least four words, all small and none known to the corpus."""
+    words = _WORD.findall(line)
+    return len(words) >= 4 and all(w.islower() and w not in known for w in words) and sum(len(w) >= 3 for w in words) >= 4
+
+
 class Detector:
     """Residue templates and known words, ready to scan batches of texts."""
 
@@ -259,11 +282,11 @@ class Detector:
                 out[i].add(int(k - base[i]))
         return out
 
-    def scan(self, texts: list[str]) -> list[list[tuple[int, str]]]:
-        """Per text the residue lines (number, kind)."""
+    def scan(self, texts: list[str], orders: list[np.ndarray | None] | None = None) -> list[list[tuple[int, str]]]:
+        """Per text the residue lines (number, kind). ``orders``: per text its lines in reading order, if that differs."""
         hits = self.by_template(texts)
         out = []
-        for text, marked in zip(texts, hits):
+        for text, marked, order in zip(texts, hits, orders or [None] * len(texts)):
             found = {k: "template" for k in marked}
             lines = text.split("\n")
             if _MAY_SLOT.search(text):
@@ -272,42 +295,48 @@ class Detector:
                         found.setdefault(k, "slot")
             for m in _STATUS.finditer(text):
                 found.setdefault(text.count("\n", 0, m.start()), "template")
-            grade = [filler_line(line, self.known) for line in lines]
+            place = range(len(lines)) if order is None else order.tolist()
+            read = whole_lines([lines[k] for k in place])
+            grade = [filler_line(line, self.known) for line in read]
             if max(grade) < 1:
                 out.append(sorted(found.items()))
                 continue
+            again = Counter(" ".join(line.lower().split()) for line in read)
             for k, g in enumerate(grade):
                 if g == 2:
-                    found.setdefault(k, "filler")
+                    found.setdefault(place[k], "filler")
                 elif g == 1:
                     a, z = k, k
-                    while a > 0 and grade[a - 1] in (1, 2):
+                    while a > 0 and grade[a - 1] != 0:
                         a -= 1
-                    while z + 1 < len(grade) and grade[z + 1] in (1, 2):
+                    while z + 1 < len(grade) and grade[z + 1] != 0:
                         z += 1
                     others = [x for x in grade[:a] + grade[z + 1 :] if x == 0]
-                    if z > a or (not others and len(lines) <= 3):
-                        found.setdefault(k, "filler")
+                    if sum(x > 0 for x in grade[a : z + 1]) > 1 or not others or again[" ".join(read[k].lower().split())] > 1 or all_unknown(read[k], self.known):
+                        found.setdefault(place[k], "filler")
             out.append(sorted(found.items()))
         return out
 
 
-def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", boxes: str | None = "boxes") -> DataFrame:
     """(key, line_no, kind) of every residue line."""
     detector = Detector(residue_templates(documents, text), known_words(documents, text))
     shared = documents.sparkSession.sparkContext.broadcast(detector)
-    rows = spread(documents.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") > 0)))
+    box = F.col(boxes) if boxes and boxes in documents.columns else F.lit(None).cast("array<struct<x0:int,y0:int>>")
+    corner = [F.transform(box, lambda b: b["x0"].cast("double")).alias("_x0"), F.transform(box, lambda b: b["y0"].cast("double")).alias("_y0")]
+    rows = spread(documents.select(key, F.col(text).alias("_text"), *corner).where(F.col("_text").isNotNull() & (F.length("_text") > 0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = shared.value
         for pdf in batches:
             keys, texts, out, at = pdf[key].tolist(), pdf["_text"].tolist(), [], 0
+            orders = [line_order(*r) for r in zip(texts, pdf["_x0"], pdf["_y0"])]
             while at < len(texts):
                 n, size = 1, len(texts[at])
                 while at + n < len(texts) and size + len(texts[at + n]) <= 500_000:
                     size += len(texts[at + n])
                     n += 1
-                for k, found in zip(keys[at : at + n], d.scan(texts[at : at + n])):
+                for k, found in zip(keys[at : at + n], d.scan(texts[at : at + n], orders[at : at + n])):
                     out += [(k, line + 1, kind) for line, kind in found]
                 at += n
             yield pd.DataFrame(out, columns=[key, "line_no", "kind"])

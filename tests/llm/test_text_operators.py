@@ -142,6 +142,25 @@ def test_residue(spark):
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
+def test_filler_in_broken_short_single_and_mixed_lines():
+    known = {w for t in NEWS for w in t.lower().replace(".", "").replace(",", "").split()}
+    detector = residue.Detector([], known)
+    broken = "qua lorrem vistu dolan sipet amor conse\ntedipi scelit"
+    article = "\n".join(NEWS)
+    for text, want in {
+        "\n".join([broken] * 4): 4,
+        broken: 1,
+        f"{NEWS[0]}\nsed vorum ipsen talor magnis et venia quis nost-\nru\n{NEWS[1]}\nsed vorum ipsen talor magnis et venia quis nost-\nru": 2,
+        f"{article}\nconbit nersit dolitus logalor\n{NEWS[0]}": 1,
+        f"{article}\nconbit nersit dolitus 12 logalor maritus\nmagaque maritus falitus veslirem\n{NEWS[0]}": 2,
+        article: 0,
+    }.items():
+        assert len(detector.scan([text])[0]) == want, text
+    text = f"conbit nersit dolitus Logalor\n{NEWS[0]}\nmagaque maritus falitus Veslirem\n{NEWS[1]}"  # two columns, read across
+    order = leakage.line_order(text, [10, 500, 12, 502], [1, 1, 30, 30])
+    assert [k for k, _ in detector.scan([text], [order])[0]] == [0, 2]
+
+
 def test_verdicts():
     for text, verdict in {"To view this scan you must allow JavaScript.": "script", "HTTP #: the reader does not exist or has moved": "error", "Help | Cookies | Imprint": "crumb", "Blindtext Blindtext.": "filler", NEWS[2]: "content", NEWS[3]: "content", "error # on line #, and # calls": "content"}.items():
         assert residue.classify(text)[0] == verdict, text
