@@ -11,8 +11,8 @@
    for misread copies too; no document is classified by itself.
 4. *Slots and filler* are detected inside any record: unresolved placeholders,
    lines of repeated words or signs, and runs of words that the corpus does not
-   know (words in at least KNOWN_SHARE of the documents are known, so there are
-   at most ``words per document / KNOWN_SHARE`` of them).
+   know (words in at least KNOWN_SHARE of the different documents are known, so
+   there are at most ``words per document / KNOWN_SHARE`` of them).
 
 Defined cases: null, empty and blank texts are no residue; repeated documents
 are reported each; editorial brackets such as [sic] or [Continued on page 2.]
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.folding import GramTable, fold, fold_all, grams
+from reviewloom.llm.folding import CONFUSED, GramTable, fold, fold_all, grams
 from reviewloom.llm.leakage import line_order
 from reviewloom.session import spread
 
@@ -157,11 +157,21 @@ def merged(found: list[tuple[str, str]]) -> tuple[list[str], list[np.ndarray]]:
 
 
 def known_words(documents: DataFrame, text: str = "text", share: float = KNOWN_SHARE) -> set[str]:
-    """Words in at least ``share`` of the documents (at least 3); their number is bounded by words per document / share."""
-    some = documents.where(F.col(text).isNotNull() & (F.length(text) > 0))
-    n = some.count()
-    words = some.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower({text}), '\\\\p{{L}}{{3,}}', 0)"))).alias("w"))
-    return {r[0] for r in words.groupBy("w").count().where(F.col("count") >= max(3, int(share * n))).select("w").collect()}
+    """Words in at least ``share`` of the different documents (at least 3); their number is bounded by words per document / share.
+
+    Documents of the same letters, as scans may take them, count once, and those
+    that mostly repeat a line don't count: a filler text isn't known because
+    there are many copies of it.
+    """
+    low = F.lower(F.col(text))
+    same = {c: s for s, cs in CONFUSED.items() for c in cs}
+    letters = F.regexp_replace(F.translate(low, "".join(same), "".join(same.values())), r"[^\p{L}]+", "")
+    some = documents.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(letters).alias("_h"), low.alias("_t"))
+    some = some.withColumn("_l", F.expr(r"filter(transform(split(_t, '\n'), x -> trim(x)), x -> x != '')")).where("2 * size(array_distinct(_l)) > size(_l)")
+    words = some.select("_h", F.array_distinct(F.expr("regexp_extract_all(_t, '\\\\p{L}{3,}', 0)")).alias("_w"))
+    distinct = words.groupBy("_h").agg(F.first("_w").alias("_w"))
+    n = some.select("_h").distinct().count()
+    return {r[0] for r in distinct.select(F.explode("_w").alias("w")).groupBy("w").count().where(F.col("count") >= max(3, int(share * n))).select("w").collect()}
 
 
 _NAME = r"[A-Za-z0-9À-ÿ][\w.\-]*(?: [\w.\-]+){0,3}"

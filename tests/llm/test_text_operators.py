@@ -161,6 +161,17 @@ def test_filler_in_broken_short_single_and_mixed_lines():
     assert [k for k, _ in detector.scan([text], [order])[0]] == [0, 2]
 
 
+def test_filler_with_many_copies_is_found(spark):
+    r = random.Random(6)
+    docs = [(i, "\n".join(r.sample(NEWS, 4))) for i in range(60)]
+    copy = "conbit nersit dolitus logalor\nmagaque maritus falitus veslirem"
+    repeated = "\n".join(["qua lorrem vistu dolan sipet amor conse", "tedipi scelit"] * 3)
+    docs += [(100 + i, misread(r, copy, 0.03)) for i in range(30)] + [(200 + i, "\n".join([repeated] * (1 + i % 4))) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {x["doc_id"] for x in residue.find_residue(df).collect()} == {d for d, _ in docs if d >= 100}
+    assert residue.known_words(df.limit(0)) == set()
+
+
 def test_verdicts():
     for text, verdict in {"To view this scan you must allow JavaScript.": "script", "HTTP #: the reader does not exist or has moved": "error", "Help | Cookies | Imprint": "crumb", "Blindtext Blindtext.": "filler", NEWS[2]: "content", NEWS[3]: "content", "error # on line #, and # calls": "content"}.items():
         assert residue.classify(text)[0] == verdict, text
