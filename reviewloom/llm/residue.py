@@ -156,6 +156,16 @@ def merged(found: list[tuple[str, str]]) -> tuple[list[str], list[np.ndarray]]:
     return verdicts, symbols
 
 
+def short_templates(found: list[tuple[str, str]]) -> dict[bytes, bool]:
+    """The templates too short for windows, folded whole, and whether only lines with a number match: 'forbidden' alone may be a word of an article."""
+    out: dict[bytes, bool] = {}
+    for _, message in found:
+        s = fold(_NUMBER.sub(" ", message))[0]
+        if 0 < len(s) < MIN_GRAMS + GRAM - 1:
+            out[s.tobytes()] = out.get(s.tobytes(), True) and "#" in message
+    return out
+
+
 def known_words(documents: DataFrame, text: str = "text", share: float = KNOWN_SHARE) -> set[str]:
     """Words in at least ``share`` of the different documents (at least 3); their number is bounded by words per document / share.
 
@@ -255,6 +265,7 @@ class Detector:
     def __init__(self, found: list[tuple[str, str]], known: set[str]):
         self.known = known
         self.verdicts, symbols = merged(found)
+        self.short = short_templates(found)
         self.size = np.array([len(s) - GRAM + 1 for s in symbols], np.int64)
         self.table = GramTable(symbols, GRAM)
 
@@ -262,9 +273,8 @@ class Detector:
         """Per text the lines that begin with a residue template."""
         symbols, at, _, starts = fold_all([_NUMBER.sub(lambda m: " " * len(m.group()), t) for t in texts])
         out: list[set[int]] = [set() for _ in texts]
-        if not len(self.size) or not len(symbols):
+        if not (len(self.size) or self.short) or not len(symbols):
             return out
-        hit, template, place, _ = self.table.hits(symbols)
         # the line in which each symbol stands, over the whole batch, and where each line begins
         base = np.concatenate([[0], np.cumsum([t.count("\n") + 1 for t in texts])])
         breaks = [np.flatnonzero(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) == 10) for t in texts]
@@ -274,6 +284,18 @@ class Detector:
             line[a:z] = base[i] + np.searchsorted(b, at[a:z])
         begin = np.full(int(base[-1]) + 1, len(symbols), np.int64)
         np.minimum.at(begin, line, np.arange(len(symbols)))
+        if self.short:
+            length = np.bincount(line[symbols > 0], minlength=len(begin))
+            for k in np.flatnonzero((length > 0) & (length < MIN_GRAMS + GRAM - 1)).tolist():
+                numbered = self.short.get(symbols[begin[k] : begin[k] + length[k]].tobytes())
+                if numbered is not None:
+                    i = int(np.searchsorted(base, k, side="right")) - 1
+                    n = int(k - base[i])
+                    if not numbered or any(c.isdigit() for c in texts[i].split("\n")[n]):
+                        out[i].add(n)
+        if not len(self.size):
+            return out
+        hit, template, place, _ = self.table.hits(symbols)
         origin = hit - place
         near = np.zeros(len(symbols) + 8, bool)  # within a few symbols of a line's begin; most hits are elsewhere
         for d in range(-3, 4):

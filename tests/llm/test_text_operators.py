@@ -172,6 +172,12 @@ def test_filler_with_many_copies_is_found(spark):
     assert residue.known_words(df.limit(0)) == set()
 
 
+def test_short_templates_match_whole_lines():
+    detector = residue.Detector([("crumb", "Help | Cookies"), ("crumb", "Back | Home"), ("crumb", "Loading…"), ("error", "# forbidden")], set())
+    text = "fataI: the image coulol not be\ndeeoded.\nBack | H0me\nHelp | Cookies\n403 Forbidden\nLoading…\nforbidden\nBack | Home and away"
+    assert detector.by_template([text, "", "Help | Cookies"]) == [{2, 3, 4, 5}, set(), {0}]
+
+
 def test_verdicts():
     for text, verdict in {"To view this scan you must allow JavaScript.": "script", "HTTP #: the reader does not exist or has moved": "error", "Help | Cookies | Imprint": "crumb", "Blindtext Blindtext.": "filler", NEWS[2]: "content", NEWS[3]: "content", "error # on line #, and # calls": "content"}.items():
         assert residue.classify(text)[0] == verdict, text
