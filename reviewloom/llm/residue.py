@@ -131,25 +131,28 @@ def merged(found: list[tuple[str, str]]) -> tuple[list[str], list[np.ndarray]]:
     """Verdicts and symbols of the templates that no more frequent one stands for.
 
     A template is merged into one that covers it as a line would have to be
-    covered, and a little more, so what it would find is found by the other.
+    covered, at places that differ by no more than a line's may, and a little
+    more, so what it would find is found by the other.
     """
     verdicts: list[str] = []
     symbols: list[np.ndarray] = []
-    owners: dict[int, set[int]] = {}
+    owners: dict[int, list[tuple[int, int]]] = {}
     sizes: list[int] = []
     for verdict, message in found:
         s = fold(_NUMBER.sub(" ", message))[0][:60]
         if len(s) < MIN_GRAMS + GRAM - 1:
             continue
-        mine = set(grams(s, GRAM).tolist())
-        shared: dict[int, int] = {}
-        for g in mine:
-            for o in owners.get(g, ()):
-                shared[o] = shared.get(o, 0) + 1
+        mine = list(enumerate(grams(s, GRAM).tolist()))
+        covers: dict[int, set[int]] = {}
+        for at, g in mine:
+            for o, place in owners.get(g, ()):
+                if abs(at - place) <= 3:
+                    covers.setdefault(o, set()).add(place)
+        shared = {o: len(places) for o, places in covers.items()}
         if any(n >= (COVER + 0.1) * sizes[o] for o, n in shared.items()):
             continue
-        for g in mine:
-            owners.setdefault(g, set()).add(len(sizes))
+        for at, g in mine:
+            owners.setdefault(g, []).append((len(sizes), at))
         sizes.append(len(mine))
         verdicts.append(verdict)
         symbols.append(s)

@@ -178,6 +178,13 @@ def test_short_templates_match_whole_lines():
     assert detector.by_template([text, "", "Help | Cookies"]) == [{2, 3, 4, 5}, set(), {0}]
 
 
+def test_a_template_with_a_longer_opening_is_not_merged():
+    short, long = "Please enable JavaScript to read this page.", "To continue, please enable JavaScript to read this page."
+    detector = residue.Detector([("script", short), ("script", long), ("script", "P1ease enable JavaScript to rcad this page.")], set())
+    assert len(detector.verdicts) == 2
+    assert detector.by_template([short, long]) == [{0}, {0}]
+
+
 def test_verdicts():
     for text, verdict in {"To view this scan you must allow JavaScript.": "script", "HTTP #: the reader does not exist or has moved": "error", "Help | Cookies | Imprint": "crumb", "Blindtext Blindtext.": "filler", NEWS[2]: "content", NEWS[3]: "content", "error # on line #, and # calls": "content"}.items():
         assert residue.classify(text)[0] == verdict, text
