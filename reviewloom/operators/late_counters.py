@@ -2,12 +2,18 @@
 
 Every record is a *dot* of one replica. A replica is one writer's share of one
 group (period, product, source): the consumer partition that first ingested the
-record, cut by ingest window so that no replica grows without bound. The state
-of a replica is a sequence-tracked version ``(seq, n, rated, rating_sum)`` whose
-fields only grow, so two states of one replica merge by taking the larger, and
-the value of a group is the sum over its replicas. Both steps are idempotent,
-commutative and associative: a retried delivery or a reordered merge changes
-nothing.
+record, cut by the message's hash into SHARDS so that no replica of a hot group
+grows with it. The state of a replica is a sequence-tracked version
+``(seq, n, rated, rating_sum, late_n, beyond_n)`` whose fields only grow.
+
+1. *Publish.* With each ingest batch (UTC day of ingestion) every replica that
+   the batch touched publishes its state. A batch that only redelivers messages
+   publishes the version of before once more.
+2. *Merge.* Two states of one replica merge by taking the larger ``seq``; the
+   value of a group is the sum over its replicas. Both steps are idempotent,
+   commutative and associative: a retried or reordered batch changes nothing.
+3. *Correct.* What a merge adds to ``late_n`` or ``beyond_n`` of a replica is a
+   correction; the records behind it are the late dots of that replica and batch.
 
 A record reaches its replica when *any* delivery of its message was first
 ingested; ``min`` over the deliveries is the merge of that register.
@@ -30,9 +36,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds of one ingest window of a replica; bounds the dots of one replica.
+#: Seconds of one ingest window, within which running values are taken apart from other windows.
 WINDOW_SECONDS = 900
+#: Parts of one writer's share of a group.
+SHARDS = 16
 GROUP = ["period", "product_id", "source"]
+REPLICA = [*GROUP, "writer", "shard"]
+STATE = ["seq", "n", "rated", "rating_sum", "late_n", "beyond_n"]
 
 
 def message_key(payload: Column) -> Column:
@@ -51,14 +61,14 @@ def first_ingest(deliveries: DataFrame) -> DataFrame:
         deliveries.where(F.col("payload_json").isNotNull() & F.col("ingested_at").isNotNull())
         .select(message_key(F.col("payload_json")).alias("_key"), "ingested_at", F.coalesce("kafka_partition", F.lit(-1)).alias("_writer"))
         .groupBy("_key")
-        .agg(F.min(F.struct("ingested_at", "_writer")).alias("_first"))
-        .select("_key", F.col("_first.ingested_at").alias("first_ingested_at"), F.col("_first._writer").alias("writer"))
+        .agg(F.min(F.struct("ingested_at", "_writer")).alias("_first"), F.max("ingested_at").alias("_last"))
+        .select("_key", F.col("_first.ingested_at").alias("first_ingested_at"), F.col("_first._writer").alias("writer"), F.col("_last").alias("last_ingested_at"))
     )
 
 
 @dataclass(frozen=True)
 class LateCounters:
-    """The four outputs of :func:`late_counters`; all are lazy."""
+    """The outputs of :func:`late_counters`; all are lazy."""
 
     dots: DataFrame
     late_after: str
@@ -74,43 +84,64 @@ class LateCounters:
         """Records that arrived late but within the cut-off."""
         return self.dots.where(F.col("outcome") == "corrects")
 
-    def replica_states(self) -> DataFrame:
-        """The last state of each replica, one row per (group, writer, window).
+    def published(self) -> DataFrame:
+        """The states that the replicas publish, one row per replica and batch that touched it.
 
-        The per-replica maximum over versions is reached at the number of its
-        distinct dots, so it is a plain aggregation with map-side combine.
+        The dots of a batch are counted map-side first; the running sums go over
+        the batches of one replica, not over its dots.
         """
-        counted = self.dots.where(F.col("outcome") != "too_late")
-        return counted.groupBy(*GROUP, "writer", "ingest_window").agg(
-            F.count(F.lit(1)).alias("seq"),
-            F.count("rating").alias("rated"),
-            F.sum(F.col("rating").cast("long")).alias("rating_sum"),
-            F.count(F.when(F.col("outcome") == "corrects", 1)).alias("late_n"),
+        new = F.struct(F.to_date("first_ingested_at").alias("batch"), F.lit(1).alias("w"))
+        again = F.when(F.to_date("last_ingested_at") > F.to_date("first_ingested_at"), F.struct(F.to_date("last_ingested_at").alias("batch"), F.lit(0).alias("w")))
+        touched = self.dots.withColumn("_t", F.explode(F.array_compact(F.array(new, again)))).withColumn("batch", F.col("_t.batch")).withColumn("_w", F.col("_t.w") == 1)
+        counted = F.col("_w") & (F.col("outcome") != "too_late")
+        step = touched.groupBy(*REPLICA, "batch").agg(
+            F.count_if("_w").alias("seq"),
+            F.count_if(counted).alias("n"),
+            F.count_if(counted & F.col("rating").isNotNull()).alias("rated"),
+            F.coalesce(F.sum(F.when(counted, F.col("rating").cast("long"))), F.lit(0)).alias("rating_sum"),
+            F.count_if(counted & (F.col("outcome") == "corrects")).alias("late_n"),
+            F.count_if(F.col("_w") & (F.col("outcome") == "too_late")).alias("beyond_n"),
         )
+        upto = Window.partitionBy(*REPLICA).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+        return step.select(*REPLICA, "batch", *[F.sum(c).over(upto).alias(c) for c in STATE])
 
     def totals(self) -> DataFrame:
-        """The group values as they finally stand: the sum over the replicas."""
-        return merge_states(self.replica_states())
+        """The group values as they finally stand: all published states merged, then the sum over the replicas."""
+        return merge_states(self.published()).where("reviews > 0")
+
+    def late_dots(self) -> DataFrame:
+        """The records behind the corrections that the merges make: late within the cut-off, and beyond it."""
+        steps = corrections_of(self.published()).where("late_step > 0 or beyond_step > 0").alias("s")
+        late = self.dots.where(F.col("outcome") != "on_time").withColumn("batch", F.to_date("first_ingested_at")).alias("d")
+        same = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*REPLICA, "batch")]
+        grown = F.when(F.col("d.outcome") == "corrects", F.col("s.late_step")).otherwise(F.col("s.beyond_step")) > 0
+        return late.join(steps, same).where(grown).select("d.*")
 
     def history(self) -> DataFrame:
         """One row per correcting record: the group's values right after it.
 
-        Two levels: replica states are prefix-summed per group over ingest
-        windows (few rows per group, whatever the number of records), and dots
-        are prefix-summed only inside one ingest window.
+        Three levels: the states of a group's ingest windows are prefix-summed
+        (few rows, whatever the number of records), then those of the seconds of
+        a window, and dots only inside one second.
         """
-        counted = self.dots.where(F.col("outcome") != "too_late")
-        windows = counted.groupBy(*GROUP, "ingest_window").agg(
-            F.count(F.lit(1)).alias("w_n"), F.count("rating").alias("w_rated"), F.coalesce(F.sum(F.col("rating").cast("long")), F.lit(0)).alias("w_sum"), F.max((F.col("outcome") == "corrects").cast("int")).alias("w_late")
+        counted = self.dots.where(F.col("outcome") != "too_late").withColumn("ingest_second", F.unix_seconds("first_ingested_at"))
+        sums = ["n", "rated", "sum"]
+        seconds = counted.groupBy(*GROUP, "ingest_window", "ingest_second").agg(
+            F.count(F.lit(1)).alias("n"), F.count("rating").alias("rated"), F.coalesce(F.sum(F.col("rating").cast("long")), F.lit(0)).alias("sum"), F.max((F.col("outcome") == "corrects").cast("int")).alias("late")
         )
+        windows = seconds.groupBy(*GROUP, "ingest_window").agg(*[F.sum(c).alias(c) for c in sums], F.max("late").alias("late"))
         before = Window.partitionBy(*GROUP).orderBy("ingest_window").rowsBetween(Window.unboundedPreceding, -1)
-        prefix = windows.select(*GROUP, "ingest_window", "w_late", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b_{c[2:]}") for c in ("w_n", "w_rated", "w_sum")]).where("w_late = 1").drop("w_late")
-        late = [F.col(f"p.{c}").eqNullSafe(F.col(f"d.{c}")) for c in (*GROUP, "ingest_window")]
-        in_window = Window.partitionBy(*[F.col(f"d.{c}") for c in (*GROUP, "ingest_window")]).orderBy("d.first_ingested_at", "d.review_id", "d._key").rowsBetween(Window.unboundedPreceding, 0)
-        placed = counted.alias("d").join(prefix.alias("p"), late, "inner")
-        n = F.col("p.b_n") + F.count(F.lit(1)).over(in_window)
-        rated = F.col("p.b_rated") + F.count("d.rating").over(in_window)
-        total = F.col("p.b_sum") + F.coalesce(F.sum(F.col("d.rating").cast("long")).over(in_window), F.lit(0))
+        outer = windows.select(*GROUP, "ingest_window", "late", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o_{c}") for c in sums]).where("late = 1").drop("late")
+        inside = Window.partitionBy(*GROUP, "ingest_window").orderBy("ingest_second").rowsBetween(Window.unboundedPreceding, -1)
+        inner = seconds.select(*GROUP, "ingest_window", "ingest_second", "late", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"i_{c}") for c in sums]).where("late = 1").drop("late")
+        same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+        at = (*GROUP, "ingest_window", "ingest_second")
+        prefix = inner.alias("i").join(outer.alias("o"), same("i", "o", at[:-1])).select(*[F.col(f"i.{c}") for c in at], *[(F.col(f"i_{c}") + F.col(f"o_{c}")).alias(f"b_{c}") for c in sums])
+        in_second = Window.partitionBy(*[F.col(f"d.{c}") for c in at]).orderBy("d.first_ingested_at", "d.review_id", "d._key").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counted.alias("d").join(prefix.alias("p"), same("p", "d", at))
+        n = F.col("p.b_n") + F.count(F.lit(1)).over(in_second)
+        rated = F.col("p.b_rated") + F.count("d.rating").over(in_second)
+        total = F.col("p.b_sum") + F.coalesce(F.sum(F.col("d.rating").cast("long")).over(in_second), F.lit(0))
         return placed.select(
             *[F.col(f"d.{c}") for c in GROUP], F.col("d.review_id"), F.col("d.first_ingested_at"), F.col("d.outcome").alias("_o"), n.alias("reviews"), rated.alias("rated"), total.alias("rating_sum")
         ).where("_o = 'corrects'").drop("_o").withColumn("mean_rating", mean_of("rating_sum", "rated"))
@@ -120,20 +151,34 @@ def mean_of(total: str, n: str) -> Column:
     return F.when(F.col(n) > 0, F.round(F.col(total).cast("double") / F.col(n), 4))
 
 
-def merge_states(states: DataFrame) -> DataFrame:
-    """Merge replica states: the largest version of each replica, then the sum over replicas.
+def merge_replicas(states: DataFrame) -> DataFrame:
+    """One state per replica, the largest version. ``states`` may hold any number of versions of a replica, in any order and repeated."""
+    return states.groupBy(*REPLICA).agg(F.max(F.struct(*STATE)).alias("s")).select(*REPLICA, "s.*")
 
-    ``states`` may hold any number of versions of a replica, in any order and
-    repeated. Fields of one version are taken together.
-    """
-    newest = states.groupBy(*GROUP, "writer", "ingest_window").agg(F.max(F.struct("seq", "rated", "rating_sum", "late_n")).alias("s"))
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """The values of the groups: the largest version of each replica, then the sum over replicas."""
     return (
-        newest.groupBy(*GROUP)
-        .agg(F.sum("s.seq").alias("reviews"), F.sum("s.rated").alias("rated"), F.coalesce(F.sum("s.rating_sum"), F.lit(0)).alias("rating_sum"), F.sum("s.late_n").alias("late_reviews"))
+        merge_replicas(states)
+        .groupBy(*GROUP)
+        .agg(F.sum("n").alias("reviews"), F.sum("rated").alias("rated"), F.sum("rating_sum").alias("rating_sum"), F.sum("late_n").alias("late_reviews"))
         .withColumn("mean_rating", mean_of("rating_sum", "rated"))
     )
 
 
+def corrections_of(states: DataFrame) -> DataFrame:
+    """What the merge of each batch adds to the late counters of each replica (late_step, beyond_step).
+
+    The merged state after a batch is the largest version published so far, so
+    a version published again, or an older one that comes late, adds nothing.
+    """
+    upto = Window.partitionBy(*REPLICA).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    merged = states.groupBy(*REPLICA, "batch").agg(F.max(F.struct(*STATE)).alias("s")).withColumn("m", F.max("s").over(upto))
+    last = F.lag("m").over(Window.partitionBy(*REPLICA).orderBy("batch"))
+    step = lambda c: (F.col(f"m.{c}") - F.coalesce(last[c], F.lit(0))).alias(c.replace("_n", "_step"))
+    return merged.select(*REPLICA, "batch", step("late_n"), step("beyond_n"))
+
+
 def late_counters(records: DataFrame, deliveries: DataFrame, late_after: str = "24 hours", cutoff: str = "7 days") -> LateCounters:
     """Place every record in its replica and decide whether it is on time, corrects, or is too late.
 
@@ -154,6 +199,7 @@ def late_counters(records: DataFrame, deliveries: DataFrame, late_after: str = "
         once.join(first_ingest(deliveries), "_key")
         .withColumn("outcome", F.when(delay_over(cutoff), "too_late").when(delay_over(late_after), "corrects").otherwise("on_time"))
         .withColumn("period", F.to_date("created_at"))
-        .withColumn("ingest_window", F.floor(F.unix_timestamp("first_ingested_at") / WINDOW_SECONDS))
+        .withColumn("ingest_window", F.floor(F.unix_seconds("first_ingested_at") / WINDOW_SECONDS))
+        .withColumn("shard", F.pmod(F.xxhash64("_key"), F.lit(SHARDS)).cast("int"))
     )
     return LateCounters(dots, late_after, cutoff)

@@ -16,8 +16,7 @@ def _late(spark: SparkSession, sf_dir: str) -> late_counters.LateCounters:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _late(spark, sf_dir)
-    return c.dots.where(F.col("outcome") != "on_time").select("review_id", "outcome").distinct()
+    return _late(spark, sf_dir).late_dots().select("review_id", "outcome").distinct()
 
 
 def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = change_replay.replay(table(spark, sf_dir, "feedback_changes"), table(spark, sf_dir, "silver_feedback"))
+    done = change_replay.replay(table(spark, sf_dir, "feedback_changes"), table(spark, sf_dir, "silver_feedback"), feed_complete=False)
     return done.state.where("in_feed and not deleted").select("review_id", "event_hash")
 
 

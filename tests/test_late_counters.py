@@ -36,12 +36,44 @@ def test_outcomes_and_totals(spark):
 
 
 def test_merge_is_idempotent_and_order_free(spark):
-    recs, dels = frames(spark, [0, 5, 30, 60, 90, 200])
+    """Batches merged one after the other into a kept state, shuffled and repeated, give the same values."""
+    recs, dels = frames(spark, [0, 5, 30, 60, 90, 200, 31, 32, 33, 150], 2)
     c = lc.late_counters(spark.createDataFrame(recs, REC), spark.createDataFrame(dels, DEL))
-    states = c.replica_states()
-    older = states.withColumn("seq", F.lit(0).cast("long")).withColumn("rating_sum", F.lit(0).cast("long")).withColumn("rated", F.lit(0).cast("long"))
-    again = lc.merge_states(older.unionByName(states).unionByName(states).unionByName(older))
-    assert again.collect() == lc.merge_states(states).collect()
+    want = c.totals().collect()
+    states = c.published().collect()
+    days = sorted({r["batch"] for r in states})
+    assert len(days) >= 4
+    schema = c.published().schema
+    random.seed(2)
+    for _ in range(3):
+        order = days + days[1:3]
+        random.shuffle(order)
+        kept = spark.createDataFrame([], schema).drop("batch")
+        for day in order:
+            arriving = spark.createDataFrame([r for r in states if r["batch"] == day], schema).drop("batch")
+            kept = spark.createDataFrame(lc.merge_replicas(kept.unionByName(arriving)).collect(), kept.schema)
+        assert lc.merge_states(kept).collect() == want
+    assert want[0]["reviews"] == 9 and want[0]["late_reviews"] == 7
+
+
+def test_redelivery_publishes_again_and_corrects_nothing(spark):
+    recs, dels = frames(spark, [30, 400])
+    dels += [("m0", T0 + dt.timedelta(days=9), 1, None), ("m1", T0 + dt.timedelta(days=30), 1, None)]
+    c = lc.late_counters(spark.createDataFrame(recs, REC), spark.createDataFrame(dels, DEL))
+    assert c.published().count() == 4
+    steps = [(r["late_step"], r["beyond_step"]) for r in lc.corrections_of(c.published()).collect()]
+    assert sorted(steps) == [(0, 0), (0, 0), (0, 1), (1, 0)]
+    assert {(r["review_id"], r["outcome"]) for r in c.late_dots().collect()} == {("r0", "corrects"), ("r1", "too_late")}
+    again = lc.corrections_of(c.published().unionByName(c.published()))
+    assert sorted((r["late_step"], r["beyond_step"]) for r in again.collect()) == sorted(steps)
+
+
+def test_late_dots_are_all_late_records(spark):
+    random.seed(5)
+    recs, dels = frames(spark, [random.uniform(0, 300) for _ in range(60)], 2)
+    c = lc.late_counters(spark.createDataFrame(recs, REC), spark.createDataFrame(dels, DEL))
+    want = {(r["review_id"], r["outcome"]) for r in c.dots.where("outcome <> 'on_time'").collect()}
+    assert {(r["review_id"], r["outcome"]) for r in c.late_dots().collect()} == want
 
 
 def test_history_is_a_running_total(spark):
@@ -58,4 +90,4 @@ def test_history_is_a_running_total(spark):
 
 def test_empty(spark):
     c = lc.late_counters(spark.createDataFrame([], REC), spark.createDataFrame([], DEL))
-    assert c.totals().count() == 0 and c.history().count() == 0
+    assert c.totals().count() == 0 and c.history().count() == 0 and c.late_dots().count() == 0
