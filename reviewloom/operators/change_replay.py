@@ -1,19 +1,22 @@
 """Applying a change feed: commit-ordered transactional replay.
 
-1. *Assemble.* Deliveries of one change (one ``event_hash``) form one
-   transaction; its commit position is the first offset it was written at.
-   Deliveries without a key, hash or known operation are ``rejected``.
+1. *Assemble.* Deliveries of one change (one ``event_hash``) are one change.
+   Changes of one transaction (``txn``; without such a column every change is its
+   own) are held until all ``txn_size`` of them are there, and then committed at
+   the position of the last. Deliveries without a key, hash or known operation
+   are ``rejected``.
 2. *Hold sequence gaps.* Offsets of a partition are one sequence. Present
    offsets are kept as bitmaps of 32,768 bits (built map-side), so the end of
    the contiguous prefix, the committed watermark, is found from one small row
-   per block. Transactions beyond it are held.
+   per block. Transactions that reach beyond it are held.
 3. *Replay.* Keys don't conflict with each other, so they are replayed in
    parallel. For one key the commit-ordered application of "newer version wins"
    gives the version with the greatest (event time, offset), an associative
    maximum that is combined map-side; a hot key costs one row per map task.
-4. *Expose* the state through the watermark. With ``feed_complete`` (the feed
-   has ended, missing offsets won't come) held transactions are released in
-   commit order behind the watermark; without it they stay held.
+4. *Expose* the state through the watermark: only transactions that lie whole
+   within the contiguous prefix are applied, the others stay held. Only where
+   the caller knows that missing offsets won't come any more (``feed_complete``)
+   are they released behind it, in commit order.
 
 Defined cases: the event time of a change is ``updated_at``, else
 ``created_at``, else before all others; a change beats a base row of equal
@@ -51,12 +54,23 @@ def event_time() -> Column:
 
 
 def assemble(changes: DataFrame) -> DataFrame:
-    """One row per transaction: txn, key, op, t, part, pos."""
+    """One row per change: change, key, kind, t, part, pos, and ``txn``, ``txn_size`` (null without such columns)."""
+    of_txn = [F.col("txn").cast("string").alias("txn"), F.col("txn_size").cast("long").alias("txn_size")] if {"txn", "txn_size"} <= set(changes.columns) else [F.lit(None).cast("string").alias("txn"), F.lit(None).cast("long").alias("txn_size")]
     rows = changes.select(
-        F.lower(F.trim("event_hash")).alias("txn"), key_form(F.col("review_id")).alias("key"), operation(F.col("op")).alias("kind"), event_time().alias("t"), F.coalesce("kafka_partition", F.lit(-1)).alias("part"), F.coalesce("kafka_offset", F.lit(-1)).cast("long").alias("pos")
-    ).where("txn is not null and key is not null and kind is not null")
-    first = F.min(F.struct("pos", "part", "t", "kind", "key"))
-    return rows.groupBy("txn").agg(first.alias("f")).select("txn", "f.key", "f.kind", "f.t", "f.part", "f.pos")
+        F.lower(F.trim("event_hash")).alias("change"), key_form(F.col("review_id")).alias("key"), operation(F.col("op")).alias("kind"), event_time().alias("t"), F.coalesce("kafka_partition", F.lit(-1)).alias("part"), F.coalesce("kafka_offset", F.lit(-1)).cast("long").alias("pos"), *of_txn
+    ).where("change is not null and key is not null and kind is not null")
+    first = F.min(F.struct("pos", "part", "t", "kind", "key", "txn", "txn_size"))
+    return rows.groupBy("change").agg(first.alias("f")).select("change", "f.*")
+
+
+def held_back(changes: DataFrame, marks: DataFrame) -> DataFrame:
+    """The assembled changes with ``committed`` of their partition and ``is_held``: beyond the watermark, or of a transaction that isn't whole before it."""
+    # One row per Kafka partition: the number of partitions bounds it, not the data.
+    placed = assemble(changes).join(F.broadcast(marks), "part", "left").withColumn("is_held", F.coalesce(F.col("pos") > F.col("committed"), F.lit(False)))
+    if not {"txn", "txn_size"} <= set(changes.columns):
+        return placed
+    whole = placed.where("txn is not null").groupBy("txn").agg((F.count_if(~F.col("is_held")) >= F.max("txn_size")).alias("whole"))
+    return placed.join(whole, "txn", "left").withColumn("is_held", F.col("is_held") | ~F.coalesce("whole", F.lit(True))).drop("whole")
 
 
 @F.pandas_udf(T.LongType())
@@ -100,33 +114,31 @@ def watermarks(changes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Replay:
-    """``state``: one row per key of the feed or the base; ``held``: transactions beyond the watermark."""
+    """``state``: one row per key of the feed or the base; ``held``: changes not yet committed."""
 
     state: DataFrame
     held: DataFrame
     marks: DataFrame
 
 
-def replay(changes: DataFrame, base: DataFrame, feed_complete: bool = True) -> Replay:
+def replay(changes: DataFrame, base: DataFrame, feed_complete: bool = False) -> Replay:
     """Apply ``changes`` to ``base`` (review_id, updated_at, created_at, event_hash).
 
     ``state`` has review_id, event_hash, deleted, in_feed, t; take
     ``not deleted`` for the current table.
     """
-    txns = assemble(changes)
     marks = watermarks(changes)
-    # One row per Kafka partition: the number of partitions bounds it, not the data.
-    placed = txns.join(F.broadcast(marks), "part", "left").withColumn("is_held", F.coalesce(F.col("pos") > F.col("committed"), F.lit(False)))
+    placed = held_back(changes, marks)
     live = placed if feed_complete else placed.where(~F.col("is_held"))
-    versions = live.select("key", F.struct("t", F.lit(1).alias("from_feed"), "pos", "txn", (F.col("kind") == "delete").alias("gone")).alias("v"))
+    versions = live.select("key", F.struct("t", F.lit(1).alias("from_feed"), "pos", "change", (F.col("kind") == "delete").alias("gone")).alias("v"))
     rows = base.select(
-        key_form(F.col("review_id")).alias("key"), F.struct(event_time().alias("t"), F.lit(0).alias("from_feed"), F.lit(-1).cast("long").alias("pos"), F.lower(F.trim("event_hash")).alias("txn"), F.lit(False).alias("gone")).alias("v")
+        key_form(F.col("review_id")).alias("key"), F.struct(event_time().alias("t"), F.lit(0).alias("from_feed"), F.lit(-1).cast("long").alias("pos"), F.lower(F.trim("event_hash")).alias("change"), F.lit(False).alias("gone")).alias("v")
     ).where("key is not null")
     state = (
         versions.unionByName(rows)
         .groupBy("key")
         .agg(F.max("v").alias("v"), F.max("v.from_feed").alias("in_feed"))
-        .select(F.col("key").alias("review_id"), F.col("v.txn").alias("event_hash"), F.col("v.gone").alias("deleted"), (F.col("in_feed") == 1).alias("in_feed"), F.col("v.t").alias("t"))
+        .select(F.col("key").alias("review_id"), F.col("v.change").alias("event_hash"), F.col("v.gone").alias("deleted"), (F.col("in_feed") == 1).alias("in_feed"), F.col("v.t").alias("t"))
     )
-    held = placed.where("is_held").select("txn", F.col("key").alias("review_id"), "kind", "part", "pos", "committed")
+    held = placed.where("is_held").select("change", "txn", F.col("key").alias("review_id"), "kind", "part", "pos", "committed")
     return Replay(state, held, marks)

@@ -11,6 +11,9 @@ The kept delivery of an identifier is the one with the earliest ``ingested_at``,
 then the smallest ``delivery_id``. Keeping a minimum is idempotent, so an upsert
 repeated after a failure, or batches in another order, give the same store.
 
+The store is known by its path alone: its number of buckets and its current
+version stand in a commit log beside the files, so another session goes on with it.
+
 Defined cases: rows with a null payload are no messages and never stored; a
 null ``ingested_at`` counts as later than any time; an empty input gives an
 empty store; other columns are ignored.
@@ -18,14 +21,16 @@ empty store; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators.late_counters import message_key
 from reviewloom.session import fresh_path, shuffle_width
+from reviewloom.sources.commits import CommitLog
 
+_RUN = "msg_key binary, ingested_at timestamp, delivery_id bigint"
 _LAST = "timestamp'9999-12-31 00:00:00'"
 
 
@@ -35,20 +40,37 @@ def _keep(df: DataFrame) -> DataFrame:
 
 
 class MessageStore:
-    """A bucketed store below the shared folder; ``buckets`` defaults to the shuffle width."""
+    """A bucketed store at ``path``, which outlives the session; without one, an intermediate below the shared folder.
+
+    ``buckets`` counts for a new store (default: the shuffle width); an existing
+    one keeps its own.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.path = path or fresh_path(spark, "messages")
-        self.buckets = buckets or shuffle_width(spark)
-        self.version = 0
-        self._name = f"messages_{uuid.uuid4().hex[:10]}"
+        self.path = (path or fresh_path(spark, "messages")).rstrip("/")
+        self.log = CommitLog(spark, self.path)
+        first = {"buckets": buckets or shuffle_width(spark), "version": 0}
+        self.log.update(first, lambda state: state if self.log.numbers() == [] else None)
+        self._name = f"messages_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}"
+
+    @property
+    def buckets(self) -> int:
+        return self.log.current({})[1]["buckets"]
+
+    @property
+    def version(self) -> int:
+        return self.log.current({})[1]["version"]
 
     def _table(self, version: int) -> str:
-        return f"{self._name}_v{version}"
+        """The catalog's name of a version; one written by an earlier session is made known first."""
+        name = f"{self._name}_v{version}"
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"create table if not exists {name} ({_RUN}) using parquet clustered by (msg_key) sorted by (msg_key) into {self.buckets} buckets location '{self.path}/v{version}'")
+        return name
 
     def _append(self, df: DataFrame, version: int) -> None:
-        (df.write.mode("append").format("parquet").bucketBy(self.buckets, "msg_key").sortBy("msg_key").option("path", f"{self.path}/v{version}").saveAsTable(self._table(version)))
+        df.write.mode("append").format("parquet").bucketBy(self.buckets, "msg_key").sortBy("msg_key").saveAsTable(self._table(version))
 
     def upsert(self, deliveries: DataFrame) -> None:
         """Add one batch (delivery_id, payload_json, ingested_at) as sorted runs."""
@@ -56,11 +78,17 @@ class MessageStore:
         self._append(_keep(arriving), self.version)
 
     def compact(self) -> DataFrame:
-        """Merge all runs into the next version and return it: one row per identifier."""
-        merged = _keep(self.spark.table(self._table(self.version)))
-        self._append(merged, self.version + 1)
-        self.spark.sql(f"drop table {self._table(self.version)}")
-        self.version += 1
+        """Merge all runs into the next version and return it: one row per identifier.
+
+        The version before stays for readers under way; older ones are deleted.
+        """
+        old = self.version
+        self.log.remove(f"{self.path}/v{old + 1}")  # of a compaction that didn't end
+        self._append(_keep(self.spark.table(self._table(old))), old + 1)
+        self.log.update({}, lambda state: state | {"version": old + 1})
+        for v in range(max(0, old - 1), old):
+            self.spark.sql(f"drop table if exists {self._name}_v{v}")
+            self.log.remove(f"{self.path}/v{v}")
         return self.kept()
 
     def kept(self) -> DataFrame:

@@ -44,10 +44,14 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_parse.loaded(error_parse.error_parse(_records(spark, sf_dir)))
 
 
+BATCHES = 3
+
+
 def _compacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bronze = table(spark, sf_dir, "bronze_feedback_events")
     store = message_store.MessageStore(spark)
-    store.upsert(bronze)
+    for part in range(BATCHES):  # the batches of three groups of consumers; a message may be in several
+        store.upsert(bronze.where(F.pmod(F.coalesce("kafka_partition", F.lit(0)), F.lit(BATCHES)) == part))
     return bronze, store.compact()
 
 
@@ -71,7 +75,7 @@ def p5_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     stg, silver = table(spark, sf_dir, "stg_feedback"), table(spark, sf_dir, "silver_feedback")
-    state = change_replay.replay(table(spark, sf_dir, "feedback_changes"), silver).state
+    state = change_replay.replay(table(spark, sf_dir, "feedback_changes"), silver, feed_complete=False).state
     deleted = state.where("deleted").select(F.col("review_id").alias("key"))
     aspect = orphan_bitmaps.find_orphans(
         orphan_bitmaps.references(table(spark, sf_dir, "aspect_sentiment"), "review_id", "aspect", "processed_at", "created_at"), orphan_bitmaps.parents(stg, "review_id", "processed_at"), deleted

@@ -31,8 +31,9 @@ def build_session(app: str = "reviewloom", cores: str | int = "*", shuffle_parti
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (a local
-    test) is a folder of our own made and set.
+    It is read from ``spark.checkpoint.dir``; only where that is unset in a local
+    session (a test) is a folder of our own made and set. On a cluster that
+    setting must be there: a folder of the driver's machine would be no shared one.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if known:
@@ -41,14 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reviewloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/reviewloom/{label}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder for an intermediate; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/reviewloom/{label}-{uuid.uuid4().hex[:12]}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place.getParent())
+    fs.deleteOnExit(place)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

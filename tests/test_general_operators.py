@@ -56,6 +56,22 @@ def test_message_store_merges_without_a_shuffle(spark):
     assert store.compact().count() == 9
 
 
+def test_message_store_is_reopened_by_its_path(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first = ms.MessageStore(spark, path, buckets=3)
+    first.upsert(spark.createDataFrame([(i, str(i % 9), T0, None) for i in range(50)], DEL))
+    first.compact()
+    other = spark.newSession()  # a catalog of its own would not know the tables
+    for v in (0, 1):
+        spark.sql(f"drop table if exists {first._name}_v{v}")
+    again = ms.MessageStore(other, path, buckets=7)
+    assert (again.buckets, again.version, again.kept().count()) == (3, 1, 9)
+    again.upsert(other.createDataFrame([(99, "3", T0 - dt.timedelta(hours=1), None), (98, "new", T0, None)], DEL))
+    kept = {r["delivery_id"] for r in again.compact().collect()}
+    assert len(kept) == 10 and {99, 98} <= kept and 3 not in kept
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if p.name.startswith("v")) == ["v1", "v2"]
+
+
 def test_message_store_empty(spark):
     store = ms.MessageStore(spark)
     store.upsert(spark.createDataFrame([], DEL))
@@ -72,7 +88,7 @@ def at(h):
 
 def test_replay(spark):
     changes = [
-        ("insert", "A", at(0), None, "a1", 0, 1), ("U ", " a ", at(0), at(5), "a2", 0, 2), ("update", "a", at(0), at(3), "a0", 0, 3), ("update", "a", at(0), at(5), "a2", 0, 9),
+        ("insert", "A", at(0), None, "a1", 0, 1), ("U ", " a ", at(0), at(5), "a2", 0, 2), ("update", "a", at(0), at(3), "a0", 0, 3), ("update", "a", at(0), at(5), "a2", 0, 4),
         ("delete", "b", None, at(9), "b1", 1, 1), ("update", "b", at(0), at(4), "b0", 1, 2), ("update", "c", at(0), at(4), "c1", 1, 3), ("D", "c", None, at(4), "c2", 1, 4),
         ("update", "d", at(0), at(1), "d1", 1, 5), ("noop", "e", at(0), at(1), "e1", 1, 6), ("update", None, at(0), at(1), "f1", 1, 7), ("update", "g", None, None, "g1", 1, 8),
     ]
@@ -94,7 +110,7 @@ def test_replay_matches_a_loop_in_any_order(spark):
                 best[key] = (u, o, e, op == "delete")
         shuffled = log + rnd.sample(log, 20)
         rnd.shuffle(shuffled)
-        got = cr.replay(spark.createDataFrame([(*c, T0) for c in shuffled], CH), spark.createDataFrame([], BASE)).state
+        got = cr.replay(spark.createDataFrame([(*c, T0) for c in shuffled], CH), spark.createDataFrame([], BASE)).state  # offsets without a gap
         assert {r["review_id"]: (r["event_hash"], r["deleted"]) for r in got.collect()} == {k: (v[2], v[3]) for k, v in best.items()}
 
 
@@ -105,8 +121,17 @@ def test_gaps_are_held(spark):
     assert marks == {0: (102, 105), 1: (65_536, 65_536)}
     open_feed = cr.replay(changes, spark.createDataFrame([], BASE), feed_complete=False)
     assert {r["review_id"] for r in open_feed.state.collect()} == {"k100", "k101", "k102", "m", "n"}
-    assert {r["txn"] for r in open_feed.held.collect()} == {"e104", "e105"}
-    assert cr.replay(changes, spark.createDataFrame([], BASE)).state.count() == 7
+    assert {r["change"] for r in open_feed.held.collect()} == {"e104", "e105"}
+    assert cr.replay(changes, spark.createDataFrame([], BASE), feed_complete=True).state.count() == 7
+
+
+def test_transactions_are_applied_whole(spark):
+    cols = CH + ", txn string, txn_size int"
+    rows = [("update", "a", at(0), at(1), "a1", 0, 1, T0, "t1", 2), ("update", "b", at(0), at(1), "b1", 0, 2, T0, "t1", 2), ("update", "b", at(0), at(1), "b1", 0, 2, T0, "t1", 2), ("update", "c", at(0), at(1), "c1", 0, 3, T0, "t2", 3), ("update", "d", at(0), at(1), "d1", 0, 4, T0, "t2", 3),
+            ("update", "e", at(0), at(1), "e1", 0, 5, T0, "t3", 2), ("update", "f", at(0), at(1), "f1", 0, 7, T0, "t3", 2), ("update", "g", at(0), at(1), "g1", 0, 5, T0, None, None)]
+    done = cr.replay(spark.createDataFrame(rows, cols), spark.createDataFrame([], BASE))
+    assert {r["review_id"] for r in done.state.collect()} == {"a", "b", "g"}
+    assert {r["change"] for r in done.held.collect()} == {"c1", "d1", "e1", "f1"}
 
 
 def test_replay_empty(spark):

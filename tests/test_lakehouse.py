@@ -111,3 +111,52 @@ def test_stream_and_replay(spark, tmp_path):
     stream.process_valid(store, valid, 99)  # the same events in a new batch
     assert store.read("bronze").count() == 3
     assert store.compact("bronze") == 1 and store.read("bronze").count() == 3
+
+
+def test_two_writers_lose_no_commit(spark, tmp_path):
+    import threading
+
+    store = SnapshotStore(spark, str(tmp_path / "lake"))
+    frame = spark.createDataFrame([(1,)], "i int").coalesce(1)
+    failed = []
+
+    def write(writer):
+        mine = SnapshotStore(spark, str(tmp_path / "lake"))
+        try:
+            for i in range(50):
+                assert mine.commit(append={f"of_{writer}": frame, "both": frame}, writer=writer, batch_id=i)
+                assert not mine.commit(append={"both": frame}, writer=writer, batch_id=i)
+        except BaseException as e:  # noqa: BLE001
+            failed.append(e)
+
+    crew = [threading.Thread(target=write, args=(w,)) for w in ("a", "b")]
+    for t in crew:
+        t.start()
+    for t in crew:
+        t.join()
+    assert not failed
+    assert (len(store.parts("of_a")), len(store.parts("of_b")), len(store.parts("both"))) == (50, 50, 100)
+    assert store.committed("a", 49) and store.committed("b", 49)
+
+
+def test_compaction_keeps_what_is_appended_meanwhile(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "lake"))
+    frame = spark.createDataFrame([(1,)], "i int").coalesce(1)
+    for _ in range(3):
+        store.commit(append={"t": frame})
+    old = store.parts("t")
+    store.commit(append={"t": frame})
+    store.commit(replace={"t": store.read("t", parts=old)}, parts={"t": old})
+    assert store.read("t").count() == 4 and len(store.parts("t")) == 2
+    with pytest.raises(ValueError):
+        store.commit(replace={"t": frame}, parts={"t": old})
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from reviewloom.session import shared_dir
+
+    far = N(conf=N(get=lambda *a: None), sparkContext=N(getConf=lambda: N(get=lambda *a: None), getCheckpointDir=lambda: None, master="spark://x:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(far)
