@@ -6,8 +6,9 @@
 2. *Count.* Document frequencies of all terms and the mean length are taken over
    all documents. Terms are token ids, so this table has as many rows as the
    tokenizer has ids, whatever the corpus.
-3. *Shard.* Items are spread by hash over shards of about SHARD items; only the
-   last container or two of a shard can stay badly filled.
+3. *Shard.* Items are spread by hash over shards of about SHARD items, one
+   partition each, so no task has two; only the last container or two of a shard
+   can stay badly filled.
 4. *Pack.* Each shard has a BM25 inverted index. The largest unused item is the
    seed of a container; its unused neighbours fill the container in the order of
    their scores, as long as the remaining space is wide; the last gap is closed
@@ -162,4 +163,9 @@ def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity
             out.append((k, 0, 0, first, used + i))
         return pd.DataFrame(out, columns=[key, "part", "tokens", "container", "place"])
 
-    return rows.groupBy("shard").applyInPandas(run, f"{key} {kind}, part int, tokens int, container long, place int")
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            yield run(pd.concat(parts, ignore_index=True))
+
+    return rows.repartitionById(shards, "shard").mapInPandas(one, f"{key} {kind}, part int, tokens int, container long, place int")
