@@ -42,16 +42,44 @@ _TABLE[ord("!")], _TABLE[ord("|")] = _CHARS.index("!") + 1, _CHARS.index("|") +
 _TABLE[0] = 0
 
 
-def fold_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fold_all(texts: list[str], numbers: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, positions, text numbers, starts): folded symbols of all texts with a 0 after each.
 
     ``positions`` are character positions in the text's own characters;
-    ``starts`` has the first symbol of each text, and the end.
+    ``starts`` has the first symbol of each text, and the end. Without
+    ``numbers`` digits are dropped, but for a single one inside a word, which is
+    a misread letter.
     """
+    symbols, place, owner, starts, _ = _fold(_points(texts), texts, numbers)
+    return symbols, place, owner, starts
+
+
+def fold_lines(texts: list[str], numbers: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, text numbers, line numbers, first line of each text and the end, starts): as ``fold_all``; lines are numbered through all texts."""
+    p = _points(texts)
+    symbols, _, owner, starts, at = _fold(p, texts, numbers)
+    line = np.cumsum((p == 10) | (p == 0), dtype=np.int64)
+    ends = np.flatnonzero(p == 0)
+    line_of = line[at] - (p[at] == 0)  # the sign that ends a text stands in its last line
+    return symbols, owner, line_of, np.concatenate([[0], line[ends]]), starts
+
+
+def _points(texts: list[str]) -> np.ndarray:
     joined = "\0".join(t.replace("\0", " ") for t in texts) + "\0"
-    p = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _fold(p: np.ndarray, texts: list[str], numbers: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     cls = np.where(p < len(_TABLE), _TABLE[np.minimum(p, len(_TABLE) - 1)], np.uint8(_DROP))
     word = (cls > 0) & (cls <= len(_ALNUM))
+    if not numbers:
+        digit = np.zeros(len(p) + 2, bool)
+        digit[1:-1] = (p >= 48) & (p <= 57)
+        if digit.any():
+            by = np.zeros(len(p) + 2, bool)
+            by[1:-1] = word
+            lone = ~digit[:-2] & ~digit[2:] & (by[:-2] | by[2:])
+            cls = np.where(digit[1:-1] & ~lone, np.uint8(_DROP), cls)
     marks = cls > len(_ALNUM)
     marks &= cls != _DROP
     if marks.any():  # a mark counts as a letter only inside a word
@@ -62,6 +90,8 @@ def fold_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     c = cls[keep].astype(np.int64)
     pair = np.zeros(len(c), np.uint8)
     pair[:-1] = _PAIR[c[:-1] * _N + c[1:]]
+    if not numbers:
+        pair[:-1][np.diff(keep) > 1] = 0
     is_pair = pair > 0
     idx = np.arange(len(c))
     run = idx - np.maximum.accumulate(np.where(is_pair, 0, idx + 1))  # offset in a run of overlapping pairs
@@ -75,12 +105,12 @@ def fold_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     starts = np.concatenate([[0], ends + 1])
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
     begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]) if texts else np.zeros(0, np.int64)
-    return symbols, at - begin[owner], owner, starts
+    return symbols, at - begin[owner], owner, starts, at
 
 
-def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
+def fold(text: str, numbers: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Folded symbols of one text and their positions in it."""
-    symbols, at, _, starts = fold_all([text])
+    symbols, at, _, starts = fold_all([text], numbers)
     return symbols[: starts[1] - 1], at[: starts[1] - 1]
 
 
@@ -137,6 +167,13 @@ class GramTable:
             out[maybe[ok]] = k[ok]
         return out
 
+    def owners(self, at: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol index, owner, place) of the n-grams at ``at``, whose numbers are in ``index``."""
+        k = index[at]
+        n = self.end[k] - self.start[k]
+        rows = np.repeat(self.start[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.owner[rows].astype(np.int64), self.place[rows].astype(np.int64)
+
     def hits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(symbol index, owner, place, weight) of every window in the table; a window of k entries weighs 1/k."""
         z = np.zeros(0, np.int64)

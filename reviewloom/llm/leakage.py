@@ -70,7 +70,7 @@ def reading_order(text: str, x, y) -> str:
 
 def line_order(text: str, x, y) -> np.ndarray | None:
     """The numbers of the lines column by column; None if the boxes' corners don't show more than one column."""
-    if x is None or y is None or len(x) < 2 or len(x) != text.count("\n") + 1:
+    if x is None or y is None or len(x) < 2 or len(x) != text.count("\n") + 1 or max(x) - min(x) <= COLUMN_GAP:
         return None
     x, y = np.asarray(x, float), np.asarray(y, float)
     if np.isnan(x).any() or np.isnan(y).any():

@@ -1,130 +1,231 @@
 """Template residue and error-page text.
 
 1. *Mine.* A message is what stands from the start of a line to the end of its
-   sentence. Messages run down a prefix tree of fixed depth: numbers become one
-   sign, and the first DEPTH tokens name the leaf. The templates in the leaves
-   are counted over the whole corpus, map-side first.
+   sentence. Every task counts its messages; they go down a prefix tree of fixed
+   depth (number of tokens, then the first of them), one leaf after the other in
+   sorted partitions, and join the templates of their leaf.
 2. *Classify once.* Each template, however often it occurs, is classified once
-   by rules into script notice, error message, filler or content.
-3. *Propagate.* The residue templates, folded, are a small table of n-grams. A
-   line is residue if it begins with most of a template's windows, which holds
-   for misread copies too; no document is classified by itself.
+   (``verdicts``) into script notice, error message, navigation, filler or content.
+3. *Propagate.* The messages of the residue templates, folded, are a table of
+   n-grams. A line is residue if it begins with most of a message's windows,
+   which holds for misread copies too; no document is classified by itself.
 4. *Slots and filler* are detected inside any record: unresolved placeholders,
-   lines of repeated words or signs, and runs of words that the corpus does not
-   know (words in at least KNOWN_SHARE of the different documents are known, so
-   there are at most ``words per document / KNOWN_SHARE`` of them).
+   lines of repeated words or signs, letters in the alphabet's order, and runs
+   of words that the corpus does not know (words in at least KNOWN_SHARE of the
+   different documents are known, so there are at most ``words per document /
+   KNOWN_SHARE`` of them).
+
+One pass over the texts yields messages, words and fingerprints; it is written
+to the shared folder. A second pass scans the lines.
 
 Defined cases: null, empty and blank texts are no residue; repeated documents
 are reported each; editorial brackets such as [sic] or [Continued on page 2.]
-are content.
+are content; messages of any length are taken whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.folding import CONFUSED, GramTable, fold, fold_all, grams
-from reviewloom.llm.leakage import line_order
-from reviewloom.session import spread
+from reviewloom.llm.folding import CONFUSED, GramTable, fold, fold_lines, grams
+from reviewloom.llm.leakage import COLUMN_GAP, line_order
+from reviewloom.llm.verdicts import _letters_in_order, classify, leaf_of, tokens_of, verdicts_of_leaf
+from reviewloom.session import fresh_path, spread
 
-DEPTH = 4  # tokens that name a leaf
-LINES = 3  # lines that a message may take
 KNOWN_SHARE = 0.003
 GRAM = 5
 COVER = 0.65  # share of a template's windows that a line must hold
+HEAD = 48  # symbols from a line's begin in which MIN_GRAMS - 2 windows must stand
 MIN_GRAMS = 8  # windows of a template that can be propagated by windows
-MAX_TABLE = 64 * 1024 * 1024  # bytes of residue templates that may be broadcast
-
-_THING = r"(?:page|image|tile|scan|reader|column view|issue|archive|node|viewer|site|document|server|article|file|resource|numéro|seite|service|request|content)"
-#: Script notices: something about scripts, and that they have to be on.
-_SCRIPT = re.compile(r"javascript|\b(?:scripts?|scripting|active content|cookies)\b", re.I)
-_SCRIPT_ON = re.compile(r"\b(?:enable|allow|permit|turn(?:ed)? (?:on|them on|off)|switch(?:ed)?(?: scripting)? (?:on|off)|switch on|activate|aktivieren|activer|must be on|need to allow|load|support|needs?|requires?)\b", re.I)
-#: Error messages.
-_ERROR = re.compile(
-    rf"^\W*(?:(?:(?:error|fehler|erreur|http|warning|fatal|exception|problem|sorry|oops)(?: #+)? ?[:!.–-]|http #+|problem #+|internal error|\[#+\])[^.]*?\b(?:{_THING}|nullimage|module)\b"
-    r"|#+ (?:not found|bad gateway|forbidden|internal server error|service unavailable|gateway timeout)"
-    r"|access denied|zugriff verweigert|accès refusé|service unavailable|page introuvable|seite nicht gefunden|your session (?:has|is)|session expired|not found\b.{0,3}$|bad gateway|too many requests|request timed out)"
-    rf"|could not be retrieved|took too long to answer|not available for copyright|can.t find that|page you (?:requested|are looking)|checking your browser|browser does not support|\b{_THING}\b (?:timed out|returned status|failed to load|does not exist|is temporarily out|was refused by the upstream|could not be decoded)",
-    re.I,
-)
-#: Crumbs that stand around such messages.
-_CRUMB = re.compile(r"^\W*(?:help \| cookies|back \| home|loading…|skip to main (?:text|content)|request id #|# of # pages|contact the reading room if this|return to the archive start|zurück zur übersicht|please sign in again)", re.I)
-#: Filler text.
-_FILLER = re.compile(r"lorem|ipsum|dolor sit|blindtext|dummy (?:text|wording)|body copy|copy (?:goes here|to come)|sample (?:headline|text)|faux texte|hier steht später|placeholder text|abcdefg|asdf|qwerty|text goes here|one two three four five|quick brown fox|your text here", re.I)
+SHORT_MESSAGE = 12  # characters below which a message goes on to the end of its next sentence
+SLICE_BYTES = 64 * 1024 * 1024  # of folded messages in one table that is broadcast; more messages make more tables, each scanned for
+HELD = 400_000  # distinct messages or words that a task counts before it passes them on
+
+#: Numbers stand for themselves in no template; a single digit inside a word is a misread letter.
+_NUMBER = re.compile(r"\d{2,}|(?<!\w)\d(?!\w)")
+_DIGIT = re.compile(r"\d")
+_ENDS = re.compile(r"[.!?…:”\"]\s*$")
+_SENTENCE = re.compile(r"[.!?…](?= |$)")
+_LETTER_RUN = re.compile(r"[^\W\d_]{3,}")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_SAME_LETTER = str.maketrans({c: s for s, cs in CONFUSED.items() for c in cs})
+
+
+def _masked(text: str) -> str:
+    text = " ".join(text.split())
+    return _NUMBER.sub("#", text) if _DIGIT.search(text) else text
+
+
+def messages_of(lines: list[str]) -> Iterator[str]:
+    """The messages of a text's lines (broken words whole): from the first line, or one after a line that ends a sentence or has no small letters, to the end of the sentence; before a line with a capital also to the end of the line."""
+    fresh = True
+    for i, line in enumerate(lines):
+        starts, fresh = fresh, not line or line[-1] in ".!?…:”\" " and _ENDS.search(line) is not None or line.upper() == line
+        if not starts or not line:
+            continue
+        text, at, k = line, 0, i + 1
+        if k < len(lines) and lines[k][:1].isupper() and line[-1] not in ".!?…:" and len(line) >= SHORT_MESSAGE:  # it may end with its line
+            yield _masked(line)
+        while True:
+            m = _SENTENCE.search(text, at)
+            if m is not None:
+                if m.end() >= SHORT_MESSAGE or (m.end() >= len(text.rstrip()) and (k >= len(lines) or not lines[k])):
+                    text = text[: m.end()]
+                    break
+                at = m.end()
+                if at < len(text):
+                    continue
+            if k >= len(lines) or not lines[k].strip():
+                break
+            at = max(at, len(text) - 1)
+            text = f"{text} {lines[k]}"
+            k += 1
+        text = _masked(text)
+        if len(text) >= 4:
+            yield text
+
+
+def _ordered(documents: DataFrame, key: str, text: str, boxes: str | None) -> DataFrame:
+    """key, _text and the corners of the lines where they show more than one column."""
+    box = F.col(boxes) if boxes and boxes in documents.columns else F.lit(None).cast("array<struct<x0:int,y0:int>>")
+    x, y = F.transform(box, lambda b: b["x0"].cast("double")), F.transform(box, lambda b: b["y0"].cast("double"))
+    wide = F.array_max(x) - F.array_min(x) > COLUMN_GAP
+    return documents.select(key, F.col(text).alias("_text"), F.when(wide, x).alias("_x0"), F.when(wide, y).alias("_y0")).where(F.col("_text").isNotNull() & (F.length("_text") > 0))
+
 
+def _read_lines(text: str, order: np.ndarray | None) -> list[str]:
+    lines = text.split("\n")
+    return whole_lines(lines if order is None else [lines[k] for k in order.tolist()])
 
-_HEADING = re.compile(r"^(?:(?!HTTP)[A-ZÀ-Ý]{3,} ){1,4}(?=\S)")
 
+#: Of a text in the code page of western languages: small letters with blanks between words, and those that scans take for one another as one.
+_CODES = [bytes([i]).decode("cp1252", "replace").lower() for i in range(256)]
+_WORDS = bytes(c.encode("cp1252", "replace")[0] if c.isalpha() else 32 for c in _CODES)
+_SAME = bytes(ord(c.translate(_SAME_LETTER)) if c.isascii() else i for i, c in enumerate(_CODES))
+_DROPPED = bytes(i for i in range(256) if not chr(_SAME[i]).isalpha() or (i >= 128 and not _CODES[i].isalpha()))
 
-_FIRST = re.compile(r".{12,}?[.!?…](?= |$)|.+", re.S)
-#: How script notices begin; what begins otherwise is content that ran into one.
-_OPENING = re.compile(r"\W*(?:to \w+|in order|before|please|kindly|this|you|your|checking|sorry|javascript|scripts?|enable|activate|turn|switch|bitte|um |veuillez|pour|activez|aktivieren)\b", re.I)
-_STATUS_LINE = re.compile(r"\W*#+ (?:not found|bad gateway|forbidden|internal server error|service unavailable|gateway timeout)", re.I)
-NEAR = 12  # characters from the start within which an error or filler phrase has to begin
 
+def _words_of(text: str) -> tuple[str, set[str]] | None:
+    """(fingerprint of the letters as any scan may take them, distinct words of three letters or more); None for a text that mostly repeats a line."""
+    lines = [s for s in map(str.strip, text.split("\n")) if s]
+    if 2 * len(set(lines)) <= len(lines) and 2 * len({s.lower() for s in lines}) <= len(lines):
+        return None
+    try:
+        raw = text.encode("cp1252")
+        words = {w for w in raw.translate(_WORDS).decode("cp1252", "replace").split() if len(w) > 2}
+        letters = raw.translate(_SAME, _DROPPED)
+    except UnicodeEncodeError:
+        low = text.lower()
+        words = set(_LETTER_RUN.findall(low))
+        letters = _NO_LETTERS.sub("", low.translate(_SAME_LETTER)).encode("cp1252", "backslashreplace")
+    return hashlib.blake2b(letters, digest_size=16).hexdigest(), words
 
-def classify(template: str) -> tuple[str, str]:
-    """(verdict, the text that stands for it): ``script``, ``error``, ``crumb``, ``filler`` or ``content``.
 
-    Only the first sentence counts: a message begins where its line begins.
+def mined(documents: DataFrame, key: str = "doc_id", text: str = "text", boxes: str | None = "boxes") -> DataFrame:
+    """One pass: the counts of every task by ``kind``, message (leaf, value, n), word (value, n) and text (value: fingerprint, n, smallest key)."""
+    rows = spread(_ordered(documents, key, text, boxes))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        said: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+        texts: dict[str, list] = {}
+
+        def counted() -> Iterator[pd.DataFrame]:
+            if said:
+                yield pd.DataFrame({"kind": "message", "leaf": [leaf_of(tokens_of(m)) for m in said], "value": list(said), "n": list(said.values()), key: None})
+            if words:
+                yield pd.DataFrame({"kind": "word", "leaf": None, "value": list(words), "n": list(words.values()), key: None})
+            if texts:
+                yield pd.DataFrame({"kind": "text", "leaf": None, "value": list(texts), "n": [t[0] for t in texts.values()], key: [t[1] for t in texts.values()]})
+            said.clear(), words.clear(), texts.clear()
+
+        for pdf in batches:
+            for k, t, x, y in zip(pdf[key], pdf["_text"], pdf["_x0"], pdf["_y0"]):
+                said.update(messages_of(_read_lines(t, None if x is None else line_order(t, x, y))))
+                if (own := _words_of(t)) is not None:
+                    old = texts.get(own[0])
+                    texts[own[0]] = [1, k] if old is None else [old[0] + 1, min(old[1], k)]
+                    words.update(own[1])
+            if len(said) + len(words) + len(texts) > HELD:
+                yield from counted()
+        yield from counted()
+
+    path = fresh_path(documents.sparkSession, "mined")
+    rows.mapInPandas(run, f"kind string, leaf string, value string, n long, {key} {dict(documents.dtypes)[key]}").write.partitionBy("kind").parquet(path)
+    return documents.sparkSession.read.schema(f"leaf string, value string, n long, {key} {dict(documents.dtypes)[key]}, kind string").parquet(path)
+
+
+def residue_templates(mined_rows: DataFrame) -> Iterator[tuple[str, str]]:
+    """(verdict, message) of the residue, the most frequent first.
+
+    A partition holds whole leaves in sorted order and takes one after the other,
+    so no task holds more than a leaf's messages.
     """
-    text = _HEADING.sub("", template)
-    if crumb := _CRUMB.search(text):
-        return "crumb", crumb.group()
-    if status := _STATUS_LINE.match(text):
-        return "error", status.group()
-    text = m.group() if (m := _FIRST.match(text)) else text
-    if _SCRIPT.search(text) and _OPENING.match(text) and (_SCRIPT_ON.search(text) or "javascript" in text.lower()):
-        return "script", text
-    for verdict, pattern in (("error", _ERROR), ("filler", _FILLER)):
-        if (m := pattern.search(text)) and m.start() <= NEAR:
-            return verdict, text
-    return "content", text
-
-
-def _masked(column: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(column, r"\d+", "#"), r"\s+", " ")
-
-
-def messages(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row per message (path, message): at the start of a text, or after a line that ends a sentence or has no small letters."""
-    flat = F.regexp_replace(F.col(text), r"[-¬=\x{AD}] ?\n", "\u0001")  # a broken word goes on
-    lines = F.split(flat, "\n")
-    block = F.expr(f"""
-        filter(transform(sequence(1, size(_l)), i -> if(i = 1 or _l[i - 2] rlike '[.!?…:”"]\\\\s*$' or not _l[i - 2] rlike '\\\\p{{Ll}}', concat_ws(' ', slice(_l, i, {LINES})), null)), x -> x is not null)""")
-    start = documents.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(lines.alias("_l")).select(F.explode(block).alias("m"))
-    whole = F.trim(_masked(F.regexp_replace("m", "\u0001", "")))
-    sentence = F.regexp_extract(whole, r"^.*?(?:[.!?…](?= |$)|$)", 0)
-    short = F.length(sentence) < 12
-    rows = start.select(F.when(short, whole).otherwise(sentence).alias("message")).where(F.length("message") >= 8)
-    return rows.select(F.lower(F.substring_index("message", " ", DEPTH)).alias("path"), "message")
-
-
-def templates(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The templates: leaf, message and its count, each once."""
-    return messages(documents, text).groupBy("path", "message").agg(F.count(F.lit(1)).alias("n"))
-
-
-def residue_templates(documents: DataFrame, text: str = "text") -> list[tuple[str, str]]:
-    """(verdict, message) of the residue templates, the most frequent first, behind a check of their size."""
+    counted = mined_rows.where("kind = 'message'").groupBy("leaf", "value").agg(F.sum("n").alias("n"))
+    leaves = counted.repartition("leaf").sortWithinPartitions("leaf")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaf, rows = None, []
         for pdf in batches:
-            out = pd.DataFrame([(*classify(m), n) for m, n in zip(pdf["message"], pdf["n"])], columns=["verdict", "message", "n"])
-            yield out[out.verdict != "content"]
+            out = []
+            for name, value, n in zip(pdf["leaf"], pdf["value"], pdf["n"]):
+                if name != leaf:
+                    out += verdicts_of_leaf(rows)
+                    leaf, rows = name, []
+                rows.append((value, n))
+            yield pd.DataFrame(out, columns=["verdict", "message", "n"])
+        yield pd.DataFrame(list(verdicts_of_leaf(rows)), columns=["verdict", "message", "n"])
+
+    found = leaves.mapInPandas(run, "verdict string, message string, n long")
+    for r in found.orderBy(F.desc("n"), "verdict", "message").toLocalIterator():
+        yield r[0], r[1]
+
+
+def tables(found: Iterator[tuple[str, str]], known: set[str]) -> Iterator[Detector]:
+    """Detectors for the messages, each behind the bound of its table; usually one."""
+    part: list[tuple[str, str]] = []
+    size, any_yet = 0, False
+    for verdict, message in found:
+        part.append((verdict, message))
+        size += 14 * len(message)
+        if size > SLICE_BYTES:
+            yield Detector(part, None if any_yet else known)
+            part, size, any_yet = [], 0, True
+    if part or not any_yet:
+        yield Detector(part, None if any_yet else known)
+
 
-    found = templates(documents, text).select("message", "n").mapInPandas(run, "verdict string, message string, n long")
-    rows = found.groupBy("verdict", "message").agg(F.sum("n").alias("n")).limit(MAX_TABLE // 512 + 1).collect()
-    if len(rows) > MAX_TABLE // 512:
-        raise ValueError("more residue templates than the broadcast bound allows")
-    return [(r[0], r[1]) for r in sorted(rows, key=lambda r: (-r[2], r[0], r[1]))]
+def known_words(documents: DataFrame, mined_rows: DataFrame, key: str = "doc_id", text: str = "text", share: float = KNOWN_SHARE) -> set[str]:
+    """Words in at least ``share`` of the different documents (at least 3); their number is bounded by words per document / share.
+
+    Documents of the same letters, as scans may take them, count once, and those
+    that mostly repeat a line don't count: a filler text isn't known because
+    there are many copies of it. Words are counted by row first; what the copies
+    of a text add is then taken off, for one of its documents.
+    """
+    texts = mined_rows.where("kind = 'text'").groupBy("value").agg(F.sum("n").alias("n"), F.min(key).alias(key))
+    n = texts.count()
+    copied = texts.where("n > 1").select(key, (1 - F.col("n")).alias("_more"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            less: Counter[str] = Counter()
+            for t, more in zip(pdf["_text"], pdf["_more"]):
+                for w in (_words_of(t) or ("", ()))[1]:
+                    less[w] += more
+            yield pd.DataFrame({"value": list(less), "n": list(less.values())})
+
+    doubles = documents.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).join(copied, key).select("_text", "_more").mapInPandas(run, "value string, n long")
+    counts = mined_rows.where("kind = 'word'").select("value", "n").unionByName(doubles).groupBy("value").agg(F.sum("n").alias("n"))
+    return {r[0] for r in counts.where(F.col("n") >= max(3, int(share * n))).select("value").collect()}
 
 
 def merged(found: list[tuple[str, str]]) -> tuple[list[str], list[np.ndarray]]:
@@ -139,7 +240,7 @@ def merged(found: list[tuple[str, str]]) -> tuple[list[str], list[np.ndarray]]:
     owners: dict[int, list[tuple[int, int]]] = {}
     sizes: list[int] = []
     for verdict, message in found:
-        s = fold(_NUMBER.sub(" ", message))[0][:60]
+        s = fold(_NUMBER.sub(" ", message), numbers=False)[0]
         if len(s) < MIN_GRAMS + GRAM - 1:
             continue
         mine = list(enumerate(grams(s, GRAM).tolist()))
@@ -163,75 +264,59 @@ def short_templates(found: list[tuple[str, str]]) -> dict[bytes, bool]:
     """The templates too short for windows, folded whole, and whether only lines with a number match: 'forbidden' alone may be a word of an article."""
     out: dict[bytes, bool] = {}
     for _, message in found:
-        s = fold(_NUMBER.sub(" ", message))[0]
+        s = fold(_NUMBER.sub(" ", message), numbers=False)[0]
         if 0 < len(s) < MIN_GRAMS + GRAM - 1:
             out[s.tobytes()] = out.get(s.tobytes(), True) and "#" in message
     return out
 
 
-def known_words(documents: DataFrame, text: str = "text", share: float = KNOWN_SHARE) -> set[str]:
-    """Words in at least ``share`` of the different documents (at least 3); their number is bounded by words per document / share.
-
-    Documents of the same letters, as scans may take them, count once, and those
-    that mostly repeat a line don't count: a filler text isn't known because
-    there are many copies of it.
-    """
-    low = F.lower(F.col(text))
-    same = {c: s for s, cs in CONFUSED.items() for c in cs}
-    letters = F.regexp_replace(F.translate(low, "".join(same), "".join(same.values())), r"[^\p{L}]+", "")
-    some = documents.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(letters).alias("_h"), low.alias("_t"))
-    some = some.withColumn("_l", F.expr(r"filter(transform(split(_t, '\n'), x -> trim(x)), x -> x != '')")).where("2 * size(array_distinct(_l)) > size(_l)")
-    words = some.select("_h", F.array_distinct(F.expr("regexp_extract_all(_t, '\\\\p{L}{3,}', 0)")).alias("_w"))
-    distinct = words.groupBy("_h").agg(F.first("_w").alias("_w"))
-    n = some.select("_h").distinct().count()
-    return {r[0] for r in distinct.select(F.explode("_w").alias("w")).groupBy("w").count().where(F.col("count") >= max(3, int(share * n))).select("w").collect()}
-
-
 _NAME = r"[A-Za-z0-9À-ÿ][\w.\-]*(?: [\w.\-]+){0,3}"
 #: Slots that were left unfilled (fixed forms of common template languages, and printers' notes).
 _SLOT = re.compile(
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>|<%=?\s*{_NAME}\s*%>|\{{%\s*{_NAME}\s*%\}}|\{{(?:\d|[A-Za-z]+[_.][\w.]+|[A-Z_]{{4,}})\}}"
-    r"|%[A-Za-z]+(?:[_.]\w+)*%|%[sd] of %[sd]|__[A-Za-z]+(?:[_. ]\w+)*__|<[A-Za-z]+(?:[_.]\w+)+>|<(?:FirstName|LastName|Name|headline|author|title|date|caption|byline|body|article|newspaper|page)>"
+    r"|#[A-Z]+(?:_[A-Z]+)*#|%[A-Za-z]+(?:[_.]\w+)*%|%[sd] of %[sd]|__[A-Za-z]+(?:[_. ]\w+)*__|<[A-Za-z]+(?:[_.]\w+)+>|<(?:FirstName|LastName|Name|headline|author|title|date|caption|byline|body|article|newspaper|page)>"
     r"|\[(?:your|insert|insérer|hier|einfügen|name of|date tbc|tbc|todo|placeholder)\b[^\]]{0,40}\]|\[[A-Za-z]+[_.]\w+\]|\[[A-Z]+(?:_[A-Z]+)+\]|\bXX [A-Z ]{3,40} XX\b|\bTK TK\b|\{(?!sic\b)[A-Za-zäöüéè]{4,}\}|\[(?:headline|author|title|titel|date|caption|byline|body|article|autor|auteur|schlagzeile)\]",
     re.I,
 )
 _BARE = re.compile(r"(?:By|Title:|On page|Published in)\s*'?\s*(?:\{[^{}]{1,30}\}|\[[^\[\]]{1,30}\]|<[^<>]{1,30}>)", re.I)
 _EDITORIAL = re.compile(r"\[(?:sic|continued|from our|to be continued|advertisement|illegible|see|cont)\b|\{sic\}", re.I)
-_MAY_SLOT = re.compile(r"[{\[<%]|__|XX|TK")
-_STATUS = re.compile(r"^[^\w\n]*\[?(?:4\d\d|5\d\d)\]? ?(?:not found|bad gateway|forbidden|unauthorized|internal server error|service unavailable|gateway time-?out)\b|^[^\w\n]*\[(?:4|5)\d\d\] the\b", re.I | re.M)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-#: Numbers stand for themselves in no template; a single digit inside a word is a misread letter.
-_NUMBER = re.compile(r"\d{2,}|(?<!\w)\d(?!\w)")
-
-
 def slot_line(line: str) -> bool:
     """Whether the line holds an unfilled slot."""
-    if not ("{" in line or "[" in line or "<" in line or "%" in line or "__" in line or "XX" in line or "TK" in line):
+    if not ("{" in line or "[" in line or "<" in line or "%" in line or "__" in line or "XX" in line or "TK" in line or "#" in line):
         return False
     bare = _EDITORIAL.sub("", line)
     return _SLOT.search(bare) is not None or _BARE.search(bare) is not None
 
 
+def content_line(tokens: list[str], known: set[str]) -> bool:
+    """Whether a line (its tokens in small letters) has too many different words to be repetition, and enough that the corpus knows."""
+    own = set(tokens)
+    return 2 * len(own) > len(tokens) + 2 and len(own & known) >= max(2, 0.25 * len(tokens))
+
+
 def filler_line(line: str, known: set[str]) -> float:
     """2 for a line of signs or repeated words, 1 for one of unknown words, 0 for content, -1 if it is too short to say."""
     tokens = line.lower().split()
     if not tokens:
         return -1
-    if 2 * len(set(tokens)) > len(tokens) + 2 and len(known.intersection(tokens)) >= max(2, 0.25 * len(tokens)):
-        return 0  # too many different words to be repetition, and enough that the corpus knows
+    if content_line(tokens, known):
+        return 0
     tokens = line.split()
     letters = sum(map(len, tokens))
     signs = sum(1 for t in tokens if len(t) >= 2 and (not any(c.isalnum() for c in t) or set(t.lower()) == {"x"}))
     if len(tokens) >= 2 and signs >= max(2, 0.7 * len(tokens)) and letters >= 8:
         return 2
     words = [w.lower() for w in _WORD.findall(line)]
+    if _letters_in_order(line):
+        return 2
     if len(words) >= 4:
         again = sum(w == words[k - 1] or (k > 1 and w == words[k - 2]) for k, w in enumerate(words) if k)
         if again >= 0.5 * len(words):
             return 2
-    if any(c.isdigit() for c in line):  # numbers say nothing, but with many of them it is a list, or a bad scan
+    if _DIGIT.search(line):  # numbers say nothing, but with many of them it is a list, or a bad scan
         if 4 * sum(any(c.isdigit() for c in t) for t in tokens) > len(tokens):
             return 0
         line = " ".join(t for t in tokens if not any(c.isdigit() for c in t))
@@ -243,16 +328,19 @@ def filler_line(line: str, known: set[str]) -> float:
     return 1 if unknown >= 0.8 * len(words) and small >= 0.6 * len(words) and len(words) >= 3 else 0
 
 
-_BROKEN = re.compile(r"(\w+)[-¬=\xad] ?$")
+_BREAKS = "-¬=\xad"
 
 
 def whole_lines(lines: list[str]) -> list[str]:
     """The lines with each broken word whole at the end of its first line."""
     out = list(lines)
     for k in range(len(out) - 1):
-        if m := _BROKEN.search(out[k]):
-            first, _, rest = out[k + 1].lstrip().partition(" ")
-            out[k], out[k + 1] = out[k][: m.end(1)] + first, rest
+        line = out[k]
+        if line[-1:] in _BREAKS or line[-2:-1] in _BREAKS and line[-1:] == " ":
+            head = line.rstrip(" ")
+            if len(line) - len(head) <= 1 and head[-1:] in _BREAKS and head and (head[-2:-1].isalnum() or head[-2:-1] == "_"):
+                first, _, rest = out[k + 1].lstrip().partition(" ")
+                out[k], out[k + 1] = head[:-1] + first, rest
     return out
 
 
@@ -265,28 +353,26 @@ def all_unknown(line: str, known: set[str]) -> bool:
 class Detector:
     """Residue templates and known words, ready to scan batches of texts."""
 
-    def __init__(self, found: list[tuple[str, str]], known: set[str]):
+    def __init__(self, found: list[tuple[str, str]], known: set[str] | None):
+        """Without ``known`` only templates are looked for."""
         self.known = known
         self.verdicts, symbols = merged(found)
         self.short = short_templates(found)
         self.size = np.array([len(s) - GRAM + 1 for s in symbols], np.int64)
         self.table = GramTable(symbols, GRAM)
+        bit = np.where(self.table.place < 64, np.uint64(1) << np.minimum(self.table.place, 63).astype(np.uint64), np.uint64(0))
+        #: Per n-gram the places below 64 at which it stands in a template, as bits.
+        self.places = np.bitwise_or.reduceat(bit, self.table.start) if len(self.table.codes) else np.zeros(0, np.uint64)
 
     def by_template(self, texts: list[str]) -> list[set[int]]:
         """Per text the lines that begin with a residue template."""
-        symbols, at, _, starts = fold_all([_NUMBER.sub(lambda m: " " * len(m.group()), t) for t in texts])
         out: list[set[int]] = [set() for _ in texts]
-        if not (len(self.size) or self.short) or not len(symbols):
+        if not texts or not (len(self.size) or self.short):
             return out
-        # the line in which each symbol stands, over the whole batch, and where each line begins
-        base = np.concatenate([[0], np.cumsum([t.count("\n") + 1 for t in texts])])
-        breaks = [np.flatnonzero(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) == 10) for t in texts]
-        line = np.empty(len(symbols), np.int64)
-        for i, b in enumerate(breaks):
-            a, z = starts[i], starts[i + 1]
-            line[a:z] = base[i] + np.searchsorted(b, at[a:z])
+        symbols, owner, line, base, _ = fold_lines(texts, numbers=False)
         begin = np.full(int(base[-1]) + 1, len(symbols), np.int64)
-        np.minimum.at(begin, line, np.arange(len(symbols)))
+        lead = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        begin[line[lead]] = lead
         if self.short:
             length = np.bincount(line[symbols > 0], minlength=len(begin))
             for k in np.flatnonzero((length > 0) & (length < MIN_GRAMS + GRAM - 1)).tolist():
@@ -298,21 +384,36 @@ class Detector:
                         out[i].add(n)
         if not len(self.size):
             return out
-        hit, template, place, _ = self.table.hits(symbols)
+        # a line that begins with a template has at least the fewest windows of one near its begin, each about where it stands in a template
+        known = self.table.index(symbols)
+        offset = np.arange(len(symbols)) - begin[line]
+        at = np.flatnonzero((known >= 0) & (offset < HEAD))
+        fits = at[(self.places[known[at]] >> np.maximum(offset[at] - 3, 0).astype(np.uint64)) & np.uint64(127) > 0]
+        first = begin[begin < len(symbols)]
+        some = np.bincount(line[fits], minlength=len(begin))[begin < len(symbols)] >= MIN_GRAMS - 2
+        last = np.minimum(first + int(self.size.max()) + 8, len(symbols))
+        mark = np.zeros(len(symbols) + 1, np.int32)
+        mark[: len(symbols)] += np.bincount(np.maximum(first[some] - 3, 0), minlength=len(symbols))[: len(symbols)].astype(np.int32)
+        mark -= np.bincount(last[some], minlength=len(mark)).astype(np.int32)
+        hit, template, place = self.table.owners(np.flatnonzero((np.cumsum(mark)[:-1] > 0) & (known >= 0)), known)
         origin = hit - place
         near = np.zeros(len(symbols) + 8, bool)  # within a few symbols of a line's begin; most hits are elsewhere
         for d in range(-3, 4):
             near[np.clip(begin[begin < len(symbols)] + d, 0, len(symbols) + 7)] = True
         some = near[np.clip(origin, 0, len(symbols) + 7)]
+        some &= owner[np.clip(origin + 3, 0, len(symbols) - 1)] == owner[hit]  # the message doesn't begin in the text before
         origin, template, place = origin[some], template[some], place[some]
         for shift in (-2, 4):  # the line in which the template begins, allowing for a few symbols lost or added
             home = line[np.clip(origin + shift, 0, len(symbols) - 1)]
-            ok = np.abs(origin - begin[home]) <= 3
-            key = (home[ok] << 40) | (template[ok] << 12) | place[ok]
-            pair, n = np.unique(np.unique(key) >> 12, return_counts=True)
-            good = pair[n >= np.maximum(MIN_GRAMS - 2, COVER * self.size[pair & ((1 << 28) - 1)])]
+            ok = (np.abs(origin - begin[home]) <= 3) & (owner[np.clip(begin[home], 0, len(symbols) - 1)] == owner[np.clip(origin + 3, 0, len(symbols) - 1)])
+            key = (home[ok] << 42) | (template[ok] << 21) | place[ok]
+            key.sort()
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])] >> 21 if len(key) else key
+            lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+            pair, n = key[lead], np.diff(np.append(lead, len(key)))
+            good = pair[n >= np.maximum(MIN_GRAMS - 2, COVER * self.size[pair & ((1 << 21) - 1)])]
             for g in good.tolist():
-                k = g >> 28
+                k = g >> 21
                 i = int(np.searchsorted(base, k, side="right")) - 1
                 out[i].add(int(k - base[i]))
         return out
@@ -323,16 +424,18 @@ class Detector:
         out = []
         for text, marked, order in zip(texts, hits, orders or [None] * len(texts)):
             found = {k: "template" for k in marked}
+            if self.known is None:
+                out.append(sorted(found.items()))
+                continue
             lines = text.split("\n")
-            if _MAY_SLOT.search(text):
+            if "{" in text or "[" in text or "<" in text or "%" in text or "__" in text or "XX" in text or "TK" in text or "#" in text:
                 for k, line in enumerate(lines):
                     if slot_line(line):
                         found.setdefault(k, "slot")
-            for m in _STATUS.finditer(text):
-                found.setdefault(text.count("\n", 0, m.start()), "template")
             place = range(len(lines)) if order is None else order.tolist()
             read = whole_lines([lines[k] for k in place])
-            grade = [filler_line(line, self.known) for line in read]
+            known = self.known
+            grade = [0 if content_line(line.lower().split(), known) else filler_line(line, known) for line in read]
             if max(grade) < 1:
                 out.append(sorted(found.items()))
                 continue
@@ -355,28 +458,32 @@ class Detector:
 
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", boxes: str | None = "boxes") -> DataFrame:
     """(key, line_no, kind) of every residue line."""
-    detector = Detector(residue_templates(documents, text), known_words(documents, text))
-    shared = documents.sparkSession.sparkContext.broadcast(detector)
-    box = F.col(boxes) if boxes and boxes in documents.columns else F.lit(None).cast("array<struct<x0:int,y0:int>>")
-    corner = [F.transform(box, lambda b: b["x0"].cast("double")).alias("_x0"), F.transform(box, lambda b: b["y0"].cast("double")).alias("_y0")]
-    rows = spread(documents.select(key, F.col(text).alias("_text"), *corner).where(F.col("_text").isNotNull() & (F.length("_text") > 0)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = shared.value
-        for pdf in batches:
-            keys, texts, out, at = pdf[key].tolist(), pdf["_text"].tolist(), [], 0
-            orders = [line_order(*r) for r in zip(texts, pdf["_x0"], pdf["_y0"])]
-            while at < len(texts):
-                n, size = 1, len(texts[at])
-                while at + n < len(texts) and size + len(texts[at + n]) <= 500_000:
-                    size += len(texts[at + n])
-                    n += 1
-                for k, found in zip(keys[at : at + n], d.scan(texts[at : at + n], orders[at : at + n])):
-                    out += [(k, line + 1, kind) for line, kind in found]
-                at += n
-            yield pd.DataFrame(out, columns=[key, "line_no", "kind"])
-
-    return rows.mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, line_no int, kind string")
+    counts = mined(documents, key, text, boxes)
+    known = known_words(documents, counts, key, text)
+    rows = spread(_ordered(documents, key, text, boxes))
+    schema = f"{key} {dict(documents.dtypes)[key]}, line_no int, kind string"
+    out = None
+    for detector in tables(residue_templates(counts), known):
+        shared = documents.sparkSession.sparkContext.broadcast(detector)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            d = shared.value
+            for pdf in batches:
+                keys, texts, found, at = pdf[key].tolist(), pdf["_text"].tolist(), [], 0
+                orders = [None if x is None else line_order(t, x, y) for t, x, y in zip(texts, pdf["_x0"], pdf["_y0"])]
+                while at < len(texts):
+                    n, size = 1, len(texts[at])
+                    while at + n < len(texts) and size + len(texts[at + n]) <= 500_000:
+                        size += len(texts[at + n])
+                        n += 1
+                    for k, lines in zip(keys[at : at + n], d.scan(texts[at : at + n], orders[at : at + n])):
+                        found += [(k, line + 1, kind) for line, kind in lines]
+                    at += n
+                yield pd.DataFrame(found, columns=[key, "line_no", "kind"])
+
+        part = rows.mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def without_residue(documents: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -169,7 +169,7 @@ def test_filler_with_many_copies_is_found(spark):
     docs += [(100 + i, misread(r, copy, 0.03)) for i in range(30)] + [(200 + i, "\n".join([repeated] * (1 + i % 4))) for i in range(20)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert {x["doc_id"] for x in residue.find_residue(df).collect()} == {d for d, _ in docs if d >= 100}
-    assert residue.known_words(df.limit(0)) == set()
+    assert residue.known_words(df.limit(0), residue.mined(df.limit(0))) == set()
 
 
 def test_short_templates_match_whole_lines():
@@ -187,7 +187,7 @@ def test_a_template_with_a_longer_opening_is_not_merged():
 
 def test_verdicts():
     for text, verdict in {"To view this scan you must allow JavaScript.": "script", "HTTP #: the reader does not exist or has moved": "error", "Help | Cookies | Imprint": "crumb", "Blindtext Blindtext.": "filler", NEWS[2]: "content", NEWS[3]: "content", "error # on line #, and # calls": "content"}.items():
-        assert residue.classify(text)[0] == verdict, text
+        assert residue.classify(text) == verdict, text
     assert residue.slot_line("By <%= headline %>") and not residue.slot_line(NEWS[4]) and not residue.slot_line("[From our own correspondent.]")
 
 
