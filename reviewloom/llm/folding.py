@@ -87,20 +87,18 @@ def _fold(p: np.ndarray, texts: list[str], numbers: bool) -> tuple[np.ndarray, n
         inside[1:-1] = word[:-2] & word[2:]
         cls = np.where(marks & ~inside, np.uint8(_DROP), cls)
     keep = np.flatnonzero(cls != _DROP)
-    c = cls[keep].astype(np.int64)
-    pair = np.zeros(len(c), np.uint8)
-    pair[:-1] = _PAIR[c[:-1] * _N + c[1:]]
+    c = cls[keep]
+    pair = _PAIR[c[:-1].astype(np.uint16) * np.uint16(_N) + c[1:]]
     if not numbers:
-        pair[:-1][np.diff(keep) > 1] = 0
-    is_pair = pair > 0
-    idx = np.arange(len(c))
-    run = idx - np.maximum.accumulate(np.where(is_pair, 0, idx + 1))  # offset in a run of overlapping pairs
-    first = is_pair & (run % 2 == 0)
-    second = np.zeros(len(c), bool)
-    second[1:] = first[:-1]
-    live = np.flatnonzero(~second)
-    symbols = np.where(first, pair, _SYMBOL[c])[live]
-    at = keep[live]
+        pair[np.diff(keep) > 1] = 0
+    here = np.flatnonzero(pair)
+    symbols, live = _SYMBOL[c], np.ones(len(c), bool)
+    if len(here):  # of a run of overlapping pairs the first, the third and so on
+        lead = np.concatenate([[True], np.diff(here) > 1])
+        first = here[(here - here[lead][np.cumsum(lead) - 1]) % 2 == 0]
+        symbols[first] = pair[first]
+        live[first + 1] = False
+    symbols, at = symbols[live], keep[live]
     ends = np.flatnonzero(symbols == 0)
     starts = np.concatenate([[0], ends + 1])
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))

@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.folding import CONFUSED, GramTable, fold, fold_lines, grams
 from reviewloom.llm.leakage import COLUMN_GAP, line_order
-from reviewloom.llm.verdicts import _letters_in_order, classify, leaf_of, tokens_of, verdicts_of_leaf
+from reviewloom.llm.verdicts import _letters_in_order, classify, leaf_of, verdicts_of_leaf
 from reviewloom.session import fresh_path, spread
 
 KNOWN_SHARE = 0.003
 GRAM = 5
 COVER = 0.65  # share of a template's windows that a line must hold
-HEAD = 48  # symbols from a line's begin in which MIN_GRAMS - 2 windows must stand
+HEAD = 48  # symbols from a line's begin by which a message is looked up; the rest of a longer one is then compared
+AHEAD, FEWEST = 24, 3  # windows at a line's begin, and how many of them must be in the table before the line is looked at
 MIN_GRAMS = 8  # windows of a template that can be propagated by windows
 SHORT_MESSAGE = 12  # characters below which a message goes on to the end of its next sentence
 SLICE_BYTES = 64 * 1024 * 1024  # of folded messages in one table that is broadcast; more messages make more tables, each scanned for
@@ -140,7 +141,7 @@ def mined(documents: DataFrame, key: str = "doc_id", text: str = "text", boxes:
 
         def counted() -> Iterator[pd.DataFrame]:
             if said:
-                yield pd.DataFrame({"kind": "message", "leaf": [leaf_of(tokens_of(m)) for m in said], "value": list(said), "n": list(said.values()), key: None})
+                yield pd.DataFrame({"kind": "message", "leaf": [leaf_of(m) for m in said], "value": list(said), "n": list(said.values()), key: None})
             if words:
                 yield pd.DataFrame({"kind": "word", "leaf": None, "value": list(words), "n": list(words.values()), key: None})
             if texts:
@@ -184,7 +185,9 @@ def residue_templates(mined_rows: DataFrame) -> Iterator[tuple[str, str]]:
             yield pd.DataFrame(out, columns=["verdict", "message", "n"])
         yield pd.DataFrame(list(verdicts_of_leaf(rows)), columns=["verdict", "message", "n"])
 
-    found = leaves.mapInPandas(run, "verdict string, message string, n long")
+    path = fresh_path(mined_rows.sparkSession, "residue")
+    leaves.mapInPandas(run, "verdict string, message string, n long").write.parquet(path)
+    found = mined_rows.sparkSession.read.schema("verdict string, message string, n long").parquet(path)
     for r in found.orderBy(F.desc("n"), "verdict", "message").toLocalIterator():
         yield r[0], r[1]
 
@@ -356,7 +359,8 @@ class Detector:
     def __init__(self, found: list[tuple[str, str]], known: set[str] | None):
         """Without ``known`` only templates are looked for."""
         self.known = known
-        self.verdicts, symbols = merged(found)
+        self.verdicts, self.symbols = merged(found)
+        symbols = self.symbols
         self.short = short_templates(found)
         self.size = np.array([len(s) - GRAM + 1 for s in symbols], np.int64)
         self.table = GramTable(symbols, GRAM)
@@ -369,7 +373,7 @@ class Detector:
         out: list[set[int]] = [set() for _ in texts]
         if not texts or not (len(self.size) or self.short):
             return out
-        symbols, owner, line, base, _ = fold_lines(texts, numbers=False)
+        symbols, _, line, base, starts = fold_lines(texts, numbers=False)
         begin = np.full(int(base[-1]) + 1, len(symbols), np.int64)
         lead = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         begin[line[lead]] = lead
@@ -384,38 +388,38 @@ class Detector:
                         out[i].add(n)
         if not len(self.size):
             return out
-        # a line that begins with a template has at least the fewest windows of one near its begin, each about where it stands in a template
         known = self.table.index(symbols)
-        offset = np.arange(len(symbols)) - begin[line]
-        at = np.flatnonzero((known >= 0) & (offset < HEAD))
-        fits = at[(self.places[known[at]] >> np.maximum(offset[at] - 3, 0).astype(np.uint64)) & np.uint64(127) > 0]
-        first = begin[begin < len(symbols)]
-        some = np.bincount(line[fits], minlength=len(begin))[begin < len(symbols)] >= MIN_GRAMS - 2
-        last = np.minimum(first + int(self.size.max()) + 8, len(symbols))
-        mark = np.zeros(len(symbols) + 1, np.int32)
-        mark[: len(symbols)] += np.bincount(np.maximum(first[some] - 3, 0), minlength=len(symbols))[: len(symbols)].astype(np.int32)
-        mark -= np.bincount(last[some], minlength=len(mark)).astype(np.int32)
-        hit, template, place = self.table.owners(np.flatnonzero((np.cumsum(mark)[:-1] > 0) & (known >= 0)), known)
-        origin = hit - place
-        near = np.zeros(len(symbols) + 8, bool)  # within a few symbols of a line's begin; most hits are elsewhere
-        for d in range(-3, 4):
-            near[np.clip(begin[begin < len(symbols)] + d, 0, len(symbols) + 7)] = True
-        some = near[np.clip(origin, 0, len(symbols) + 7)]
-        some &= owner[np.clip(origin + 3, 0, len(symbols) - 1)] == owner[hit]  # the message doesn't begin in the text before
-        origin, template, place = origin[some], template[some], place[some]
-        for shift in (-2, 4):  # the line in which the template begins, allowing for a few symbols lost or added
-            home = line[np.clip(origin + shift, 0, len(symbols) - 1)]
-            ok = (np.abs(origin - begin[home]) <= 3) & (owner[np.clip(begin[home], 0, len(symbols) - 1)] == owner[np.clip(origin + 3, 0, len(symbols) - 1)])
-            key = (home[ok] << 42) | (template[ok] << 21) | place[ok]
-            key.sort()
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])] >> 21 if len(key) else key
-            lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
-            pair, n = key[lead], np.diff(np.append(lead, len(key)))
-            good = pair[n >= np.maximum(MIN_GRAMS - 2, COVER * self.size[pair & ((1 << 21) - 1)])]
-            for g in good.tolist():
-                k = g >> 21
-                i = int(np.searchsorted(base, k, side="right")) - 1
-                out[i].add(int(k - base[i]))
+        lines = np.flatnonzero(begin < len(symbols))
+        stop = starts[np.searchsorted(base, lines, side="right")] - 1  # where the line's text ends
+        # windows near a line's begin that stand about there in a template; a message may go on over the next lines
+        ahead = begin[lines][:, None] + np.arange(AHEAD)
+        code = np.where(ahead < stop[:, None], known[np.minimum(ahead, len(symbols) - 1)], -1)
+        fits = (self.places[code] >> np.maximum(np.arange(AHEAD) - 3, 0).astype(np.uint64)) & np.uint64(127) > 0
+        some = (fits & (code >= 0)).sum(1) >= FEWEST
+        lines, stop = lines[some], stop[some]
+        ahead = begin[lines][:, None] + np.arange(HEAD)
+        inside = (ahead < stop[:, None]) & (known[np.minimum(ahead, len(symbols) - 1)] >= 0)
+        at, template, place = self.table.owners(ahead[inside], known)
+        code = known[ahead[inside]]
+        home = np.repeat(np.broadcast_to(lines[:, None], ahead.shape)[inside], self.table.end[code] - self.table.start[code])
+        near = np.abs(at - begin[home] - place) <= 3
+        key = np.sort((home[near] << 42) | (template[near] << 21) | place[near])
+        if not len(key):
+            return out
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] >> 21
+        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        pair, n = key[lead], np.diff(np.append(lead, len(key)))
+        size = self.size[pair & ((1 << 21) - 1)]
+        good = n >= np.maximum(MIN_GRAMS - 2, COVER * np.minimum(size, HEAD - 4))
+        for g, length in zip(pair[good].tolist(), size[good].tolist()):
+            k, t = g >> 21, g & ((1 << 21) - 1)
+            i = int(np.searchsorted(base, k, side="right")) - 1
+            if length > HEAD - 4:  # the rest of a long message must be there too
+                span = known[begin[k] : min(begin[k] + length + 8, int(starts[i + 1]))]
+                whole = self.table.index(self.symbols[t])
+                if len(np.intersect1d(span[span >= 0], whole)) < COVER * len(np.unique(whole[whole >= 0])):
+                    continue
+            out[i].add(int(k - base[i]))
         return out
 
     def scan(self, texts: list[str], orders: list[np.ndarray | None] | None = None) -> list[list[tuple[int, str]]]:

@@ -31,16 +31,16 @@ LEXICON: dict[str, str] = {
     "enable": """enable*, enabling, activate*, allow, allowed, allows, permit, permits, turn on, turn it on, turn them on, turned on, turn off, switch on, switched on, switch*, must be on, needs, need, requires, require, aktivieren*, aktiviert, einschalten, activez, activer, autoris*, habilit*, activ*, permita, permitir, attiva*, abilita*, schakel, inschakelen, ative, ativar, disabled, load""",
     "plain": """too many requests, too many connections, internal server error, page not found, file not found, you have been blocked, something went wrong, iets misgegaan, traceback most recent, session has ended, session expired, your session, attention required, looking for, can t be reached""",
     "tech": """browser*, url, urls, http, https, www, server*, gateway*, proxy, timeout, time-out, timed out, status code, status #, stack trace, traceback, nullpointer*, nullimage*, null pointer, undefined, captcha, recaptcha, cloudflare, dns,
-        ssl, login, log in, sign in, signed in, log on, session, sessions, cache, reload, refresh, retry, try again, webseite*, website*, web site, web page, webpage*, navigateur, serveur, navegador, servidor, sitzung*, sesión, sessione, sessie, sessão, ad blocker, adblock*, plugin, plug-in,
-        flash player, json, html, xml, php, sql, database, datenbank, base de datos, base de données, iframe, webgl, webmaster, administrator, administrador, offline, robot, human, bot, bots, ray id, internal error, error code, parse error, syntax error, runtime error, unhandled, debug, module, ip address""",
-    "thing": """page, pages, file, document, image, images, scan, link, request*, resource*, content, article, address, account, service*, access, connection, viewer, reader, tile, tiles, archive, node, issue, view, preview, player, video, map, widget, component, app, domain, host, connexion, application, seite*, datei*, bild, verbindung, zugriff,
+        ssl, login, log in, sign in, signed in, log on, session, sessions, cache, reload, refresh, webseite*, website*, web site, web page, webpage*, navigateur, serveur, navegador, servidor, sitzung*, sesión, sessione, sessie, sessão, ad blocker, adblock*, plugin, plug-in,
+        flash player, json, html, xml, php, sql, database, datenbank, base de datos, base de données, iframe, webgl, webmaster, administrator, administrador, offline, robot, human, bot, bots, ray id, internal error, error code, parse error, syntax error, runtime error, unhandled, debug, module, ip address, uncaught, fatal error, database error, error interno, erreur interne, interner fehler""",
+    "thing": """page, pages, file, document, dokument, image, images, scan, link, request*, resource*, content, article, address, account, service*, access, connection, viewer, reader, tile, tiles, archive, node, issue, view, preview, player, video, map, widget, component, app, domain, host, connexion, application, seite*, datei*, bild, verbindung, zugriff,
         dienst, anfrage, adresse, inhalt*, artikel, fichier, lien, demande*, accès, ressource, numéro, página, archivo, solicitud, recurso, enlace, acceso, contenido, cuenta, pagina, risorsa, richiesta, accesso, verzoek, toegang, pedido, acesso, arquivo, sito, cette page, something, iets, algo, qualcosa, there""",
-    "fail": """not found, not be found, not be *, could not, couldn t, cannot, can t, can not, unable to, failed, failure, does not exist, doesn t exist, no longer, not available, unavailable, denied, forbidden, expired, refused, rejected, blocked, unauthorized, unauthorised, out of reach, error, errors, fatal, exception, warning, problem #, oops, whoops, uh oh, sorry,
+    "fail": """not found, not be found, not be *, could not, couldn t, cannot, can t, can not, unable to, failed, failure, does not exist, doesn t exist, no longer, not available, unavailable, denied, forbidden, expired, refused, rejected, blocked, unauthorized, unauthorised, out of reach, oops, whoops, uh oh, sorry, error occurred, error has occurred, an error,
         invalid, not permitted, not authorized, not allowed, not private, not secure, temporarily, maintenance, went wrong, does not support, doesn t support, not supported, bad gateway, bad request, disabled, disconnected, interrupted, overloaded, out of memory, has moved, have moved, not responding, not valid, missing, took too long,
-        nicht gefunden, nicht verfügbar, nicht erreichbar, nicht geladen, nicht geöffnet, nicht angezeigt, nicht erlaubt, verweigert, abgelaufen, fehler, fehlgeschlagen, existiert nicht, wartung*, gesperrt, ungültig*, leider, vorübergehend, momentan*, introuvable, indisponible*, refusé*, expiré*, erreur, échec, échoué*, n existe pas, n existe plus, interdit, désolé*, impossible,
-        no encontrad*, no se encuentra, no se pudo, no disponible, denegad*, no existe, caducad*, prohibid*, lo sentimos, error interno, non trovat*, non disponibil*, non esiste, errore, negato, scadut*, niet gevonden, niet beschikbaar, bestaat niet, fout, geweigerd, verlopen, não encontrad*, nao encontrad*, não existe, nao existe, indisponív*, erro, negado, expirad*""",
+        nicht gefunden, nicht verfügbar, nicht erreichbar, nicht geladen, nicht geöffnet, nicht angezeigt, nicht erlaubt, verweigert, abgelaufen, fehlgeschlagen, existiert nicht, wartung*, gesperrt, ungültig*, leider, vorübergehend, momentan*, introuvable, indisponible*, refusé*, expiré*, échec, échoué*, n existe pas, n existe plus, interdit, désolé*, impossible,
+        no encontrad*, no se encuentra, no se pudo, no disponible, denegad*, no existe, caducad*, prohibid*, lo sentimos, non trovat*, non disponibil*, non esiste, negato, scadut*, niet gevonden, niet beschikbaar, bestaat niet, geweigerd, verlopen, não encontrad*, nao encontrad*, não existe, nao existe, indisponív*, negado, expirad*""",
     "fix": """requires, require, required, upgrade, update your, please, kindly, contact the, contact us, return to, go back, check the, check your, checking your, verify, to continue, to proceed, to view, before you,
-        in order to, slow down, wait, you must, you requested, you are looking for, requested, looking for, was requested, start page, home page, homepage, startseite, bitte, melden sie, erforderlich, veuillez, réessay*, requis, accueil, por favor, inténtelo, inicie, iniciar, riprova*, si prega,
+        in order to, slow down, wait, retry, try again, try later, you must, you requested, you are looking for, requested, looking for, was requested, start page, home page, homepage, startseite, bitte, melden sie, erforderlich, veuillez, réessay*, requis, accueil, por favor, inténtelo, inicie, iniciar, riprova*, si prega,
         probeer, tente novamente, request id, reference #, ref #, incident, support id, supporting""",
     "past": """said, says, saying, he, she, his, her, hers, him, himself, herself, they, them, their, were, was, had, mr, mrs, miss, dr, rev, persons, people, yesterday, last week, monday, tuesday, wednesday, thursday, friday, saturday, sunday, told, replied, announced, reported, stated, declared, asked, wrote, sagte, wurde, wurden, war, waren, herr, frau, er, sie sagte, hatte, dit, disait, était, étaient, fut, avait, monsieur,
         madame, elle, dijo, fue, era, eran, señor, había, disse, era stato, signor, zei, werd, was de, mijnheer, senhor, foi, parish, curate, clerk, mayor, children, telephone*""",
@@ -181,7 +181,7 @@ def classify(message: str, tokens: list[str] | None = None) -> str:
             if old is None or words > old[0]:
                 hits[start] = (words, end, concept)
     if not hits or all(h[2] == "past" for h in hits.values()):
-        return "content"
+        return "error" if len(tokens) == 2 and tokens[1] == "#" and tokens[0] in _HEAD else "content"
     n: dict[str, int] = {}
     score, until, first = 0.0, -1, None
     for start in sorted(hits):
@@ -194,10 +194,12 @@ def classify(message: str, tokens: list[str] | None = None) -> str:
         k = n[concept] = n.get(concept, 0) + 1
         if k <= 3:
             score += _WEIGHT[concept][0 if k == 1 else 1]
+    headed = _headed(message)
+    first = 0 if headed else first
     if first is None or first > NEAR:
         return "content"
     coded = "#" in tokens[:2] or any(a in _CODED and b == "#" for a, b in zip(tokens, tokens[1:]))
-    score += 1.0 if coded else 0.0
+    score += (1.0 if coded else 0.0) + (1.5 if headed else 0.0)
     score += 0.5 if first <= 1 else 0.0
     notice = n.get("script", 0) and n.get("enable", 0)
     score += 1.5 if notice or (n.get("script", 0) and n.get("tech", 0)) else 0.0
@@ -205,20 +207,32 @@ def classify(message: str, tokens: list[str] | None = None) -> str:
     if n.get("filler", 0) * 1.5 + 1.5 * n.get("past", 0) * -1 >= THRESHOLD:
         return "filler"
     solid = notice or any(n.get(c, 0) for c in ("plain", "tech", "fail", "filler"))
-    several = coded + len(n.keys() - {"past"}) > 1 or "plain" in n or "tech" in n  # a failure alone may be of anything
-    if score < THRESHOLD or not solid or not several:
+    several = (coded or headed) + len(n.keys() - {"past"}) > 1 or "plain" in n or "tech" in n  # a failure alone may be of anything
+    if message[:1].islower() and not headed and len(tokens) > 4:
+        score -= 1.0  # it may be the rest of a sentence
+    if score < THRESHOLD or not (solid or headed) or not several:
         return "content"
     if n.get("filler", 0) and not n.get("tech", 0) and not n.get("fail", 0):
         return "filler"
     return "script" if n.get("script", 0) else "error"
 
 
-_CODED = frozenset(tokens_of("error status code http problem ref reference id fehler erreur errore erro fout"))
+_HEAD = frozenset(tokens_of("error errors fatal warning exception problem notice fehler warnung erreur avertissement attention errore erro aviso fout http"))
+_CODED = _HEAD | frozenset(tokens_of("status code ref reference id"))
+
+
+def _headed(message: str) -> bool:
+    """Whether one of the first words announces an error: 'Error:', 'fatal -', 'Warning!', 'Erreur 12'."""
+    words = message.split(None, 4)[:4]
+    for i, w in enumerate(words):
+        if any(t in _HEAD for t in tokens_of(w)) and (w[-1] in ":!.–—-" or i + 1 == len(words) or words[i + 1][:1] in "#–—-:(" or words[i + 1][:1].isdigit()):
+            return True
+    return False
 
 
-def leaf_of(tokens: list[str]) -> str:
-    """The leaf of a message in the tree of fixed depth: its number of tokens, then its first tokens."""
-    return f"{len(tokens)} " + " ".join(tokens[:DEPTH])
+def leaf_of(message: str) -> str:
+    """The leaf of a message in the tree of fixed depth: its number of words, then the first of them, folded."""
+    return f"{message.count(' ') + 1} {folded(' '.join(message.split(' ', DEPTH)[:DEPTH]))}"
 
 
 class Leaf:

@@ -186,11 +186,123 @@ def test_a_template_with_a_longer_opening_is_not_merged():
 
 
 def test_verdicts():
-    for text, verdict in {"To view this scan you must allow JavaScript.": "script", "HTTP #: the reader does not exist or has moved": "error", "Help | Cookies | Imprint": "crumb", "Blindtext Blindtext.": "filler", NEWS[2]: "content", NEWS[3]: "content", "error # on line #, and # calls": "content"}.items():
+    for text, verdict in {"To view this scan you must allow JavaScript.": "script", "HTTP #: the reader does not exist or has moved": "error", "Help | Cookies | Imprint": "crumb", "Blindtext Blindtext.": "filler", NEWS[2]: "content", NEWS[3]: "content", "error # on line #, and # calls": "content", "please try again later, said the": "content"}.items():
         assert residue.classify(text) == verdict, text
     assert residue.slot_line("By <%= headline %>") and not residue.slot_line(NEWS[4]) and not residue.slot_line("[From our own correspondent.]")
 
 
+#: Common residue and news of like words; none of it is from the test tables, nor was it looked at for the lexicon's last figures.
+RESIDUE = """The requested URL was not found on this server.
+Habilite JavaScript para continuar.
+Attention Required! | Cloudflare
+undefined undefined
+Access to this resource on the server is denied!
+Your connection is not private
+This site can't be reached
+502 Proxy Error
+We're sorry, something went wrong.
+This page cannot be displayed.
+Error establishing a database connection
+Too many connections
+Sign in to continue
+Please verify you are human
+You have been blocked
+Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an.
+Diese Seite existiert nicht.
+La page demandée n'existe pas.
+Página no encontrada
+Error interno del servidor
+Pagina non trovata
+Er is iets misgegaan.
+Deze pagina bestaat niet.
+Página não encontrada
+JavaScript is disabled in your browser.
+Please turn on cookies in your browser settings.
+This app requires JavaScript to run.
+Warning: mysql_connect(): Access denied for user
+Fatal error: Uncaught exception
+Parse error: syntax error, unexpected end of file
+Traceback (most recent call last):
+Request timed out
+The service is temporarily unavailable. Please try again later.
+Lorem ipsum dolor sit amet
+Your text goes here
+Placeholder for the caption
+Texto de ejemplo
+The quick brown fox jumps over the lazy dog
+# Internal Server Error
+# Forbidden
+Error #
+Skip to main content
+Home | About | Contact
+Page # of # pages
+An error occurred while loading the page.
+The file you requested could not be opened.
+We couldn't find the page you were looking for.
+Coming soon
+This video is not available in your country
+Votre session a expiré.
+Accès interdit
+Das Dokument konnte nicht geladen werden: Fehler #
+Sample text for this column""".split("\n")
+CONTENT = """The page was not found in the parish book, says the curate.
+The telephone exchange logged error # on line #, and # calls were not found a way through.
+He read the error page by page, and found the # faults himself.
+The play follows the scripts of the old company and is required reading.
+Entry was denied to # persons without tickets, and the service was unavailable to latecomers.
+The committee for the bridge met on Monday and voted.
+The server at the inn was praised for her patience.
+The mayor could not attend the service on Sunday.
+Page # of the report was missing.
+An error of judgment cost the captain his ship.
+The gateway to the park is open again.
+Our reader asks whether the issue of the bonds was allowed.
+The archive of the town is closed for repairs until spring.
+Fatal accident at the mill: two men killed.
+The bridge could not be crossed after the flood.
+Sorry sight at the harbour after the storm.
+Warning to shipping off the eastern coast.
+Sample of ore sent to the assayer.
+Access to the quay was refused to the strikers.
+Tickets are no longer available at the booth.
+The account of the treasurer was found to be in error.
+The manuscript could not be read by the clerk.
+The cookies at the fair were excellent.
+Bitte um Hilfe für die Armen der Stadt.
+Le service du port reprendra lundi.
+The site of the new mill has been moved to the river.
+The link road is not open to motor traffic.
+Maintenance of the poor law union cost 400 pounds.""".split("\n")
+
+
+def test_verdicts_hold_for_residue_of_other_wording():
+    missed = [t for t in RESIDUE if residue.classify(t) == "content" and not residue.slot_line(t)]
+    false = [t for t in CONTENT if residue.classify(t) != "content"]
+    assert len(missed) <= 0.05 * len(RESIDUE), missed
+    assert len(false) <= 0.05 * len(CONTENT), false
+
+
+def test_tree_has_fewer_templates_than_messages():
+    from reviewloom.llm import verdicts
+
+    r = random.Random(4)
+    said = {f"{r.choice(['Error', 'Problem'])} {i}: the {r.choice(['page', 'image', 'tile'])} {r.choice(['failed to load', 'timed out'])} after {i} of {i} tries".replace(str(i), "#") for i in range(60)}
+    said |= {" ".join(["The", "committee", *(r.choice(WORDS) for _ in range(6))]) for _ in range(200)}
+    leaves = {}
+    for m in said:
+        leaves.setdefault(verdicts.leaf_of(m), []).append((m, 1))
+    residual = [m for rows in leaves.values() for _, m, _ in verdicts.verdicts_of_leaf(rows)]
+    assert sorted(residual) == sorted(m for m in said if "#" in m)
+    leaf = verdicts.Leaf()
+    for m in sorted(m for m in said if m.startswith("Error")):
+        leaf.add(verdicts.tokens_of(m), m, 1)
+    assert len(list(leaf.each())) < len([m for m in said if m.startswith("Error")]) and any(None in t for t in leaf.templates)
+    deep = verdicts.Leaf()
+    for i in range(500):  # more templates than a leaf holds: it is looked up by one more token
+        deep.add(["a", "b", f"c{i}", f"d{i}", f"e{i}"], f"m{i}", 1)
+    assert sum(len(x) for x in deep.each()) == 500 and len(deep.templates) == deep.SPLIT
+
+
 @pytest.fixture(scope="module")
 def tokens():
     if not __import__("pathlib").Path(packing.TOKENIZER).exists():
