@@ -28,6 +28,13 @@ _PAIR = np.zeros(_N * _N, np.uint8)
 for _ab, _c in PAIRS:
     _PAIR[(_CHARS.index(_ab[0]) + 1) * _N + _CHARS.index(_ab[1]) + 1] = _INDEX[_FOLD.get(_c, _c)]
 _DROP, _MARK = 255, 254
+#: Whether a class begins a pair.
+_OPENS = (_PAIR.reshape(_N, _N) > 0).any(1).astype(np.uint8)
+
+
+def _mapped(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[codes]`` for bytes."""
+    return np.frombuffer(codes.tobytes().translate(np.resize(np.append(table, np.zeros(256 - len(table), np.uint8)), 256).tobytes()), np.uint8)
 
 
 def _class(ch: str) -> int:
@@ -40,6 +47,7 @@ def _class(ch: str) -> int:
 _TABLE = np.array([_class(chr(i)) for i in range(0x2200)], np.uint8)
 _TABLE[ord("!")], _TABLE[ord("|")] = _CHARS.index("!") + 1, _CHARS.index("|") + 1
 _TABLE[0] = 0
+_BYTES = np.array([_TABLE[i] if i < 128 else min(_TABLE[ord(c)] if (c := bytes([i]).decode("cp1252", "replace")) < chr(len(_TABLE)) else _DROP, _DROP) for i in range(256)], np.uint8)
 
 
 def fold_all(texts: list[str], numbers: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,19 +66,23 @@ def fold_lines(texts: list[str], numbers: bool = True) -> tuple[np.ndarray, np.n
     """(symbols, text numbers, line numbers, first line of each text and the end, starts): as ``fold_all``; lines are numbered through all texts."""
     p = _points(texts)
     symbols, _, owner, starts, at = _fold(p, texts, numbers)
-    line = np.cumsum((p == 10) | (p == 0), dtype=np.int64)
+    line = np.cumsum((p == 10) | (p == 0), dtype=np.int32)
     ends = np.flatnonzero(p == 0)
     line_of = line[at] - (p[at] == 0)  # the sign that ends a text stands in its last line
-    return symbols, owner, line_of, np.concatenate([[0], line[ends]]), starts
+    return symbols, owner, line_of, np.concatenate([[0], line[ends]]).astype(np.int64), starts
 
 
 def _points(texts: list[str]) -> np.ndarray:
+    """Code points of all texts, a 0 after each; one byte each where the code page of western languages has them all."""
     joined = "\0".join(t.replace("\0", " ") for t in texts) + "\0"
-    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    try:
+        return np.frombuffer(joined.encode("cp1252"), np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _fold(p: np.ndarray, texts: list[str], numbers: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    cls = np.where(p < len(_TABLE), _TABLE[np.minimum(p, len(_TABLE) - 1)], np.uint8(_DROP))
+    cls = _mapped(p, _BYTES) if p.dtype == np.uint8 else np.where(p < len(_TABLE), _TABLE[np.minimum(p, len(_TABLE) - 1)], np.uint8(_DROP))
     word = (cls > 0) & (cls <= len(_ALNUM))
     if not numbers:
         digit = np.zeros(len(p) + 2, bool)
@@ -88,15 +100,17 @@ def _fold(p: np.ndarray, texts: list[str], numbers: bool) -> tuple[np.ndarray, n
         cls = np.where(marks & ~inside, np.uint8(_DROP), cls)
     keep = np.flatnonzero(cls != _DROP)
     c = cls[keep]
-    pair = _PAIR[c[:-1].astype(np.uint16) * np.uint16(_N) + c[1:]]
+    here = np.flatnonzero(_mapped(c[:-1], _OPENS))
+    pair = _PAIR[c[here] * np.int64(_N) + c[here + 1]]
     if not numbers:
-        pair[np.diff(keep) > 1] = 0
-    here = np.flatnonzero(pair)
-    symbols, live = _SYMBOL[c], np.ones(len(c), bool)
+        pair[keep[here + 1] - keep[here] > 1] = 0
+    here, pair = here[pair > 0], pair[pair > 0]
+    symbols, live = _mapped(c, _SYMBOL).copy(), np.ones(len(c), bool)
     if len(here):  # of a run of overlapping pairs the first, the third and so on
         lead = np.concatenate([[True], np.diff(here) > 1])
-        first = here[(here - here[lead][np.cumsum(lead) - 1]) % 2 == 0]
-        symbols[first] = pair[first]
+        odd = (here - here[lead][np.cumsum(lead) - 1]) % 2 == 0
+        first = here[odd]
+        symbols[first] = pair[odd]
         live[first + 1] = False
     symbols, at = symbols[live], keep[live]
     ends = np.flatnonzero(symbols == 0)

@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.folding import CONFUSED, GramTable, fold, fold_lines, grams
 from reviewloom.llm.leakage import COLUMN_GAP, line_order
-from reviewloom.llm.verdicts import _letters_in_order, classify, leaf_of, verdicts_of_leaf
+from reviewloom.llm.verdicts import letters_in_order, classify, leaf_of, verdicts_of_leaf
 from reviewloom.session import fresh_path, spread
 
 KNOWN_SHARE = 0.003
 GRAM = 5
 COVER = 0.65  # share of a template's windows that a line must hold
 HEAD = 48  # symbols from a line's begin by which a message is looked up; the rest of a longer one is then compared
-AHEAD, FEWEST = 24, 3  # windows at a line's begin, and how many of them must be in the table before the line is looked at
+AHEAD, FEWEST = 24, 5  # windows at a line's begin, and how many of them must be in the table before the line is looked at
 MIN_GRAMS = 8  # windows of a template that can be propagated by windows
 SHORT_MESSAGE = 12  # characters below which a message goes on to the end of its next sentence
 SLICE_BYTES = 64 * 1024 * 1024  # of folded messages in one table that is broadcast; more messages make more tables, each scanned for
@@ -313,7 +313,7 @@ def filler_line(line: str, known: set[str]) -> float:
     if len(tokens) >= 2 and signs >= max(2, 0.7 * len(tokens)) and letters >= 8:
         return 2
     words = [w.lower() for w in _WORD.findall(line)]
-    if _letters_in_order(line):
+    if letters_in_order(line):
         return 2
     if len(words) >= 4:
         again = sum(w == words[k - 1] or (k > 1 and w == words[k - 2]) for k, w in enumerate(words) if k)
@@ -392,10 +392,13 @@ class Detector:
         lines = np.flatnonzero(begin < len(symbols))
         stop = starts[np.searchsorted(base, lines, side="right")] - 1  # where the line's text ends
         # windows near a line's begin that stand about there in a template; a message may go on over the next lines
-        ahead = begin[lines][:, None] + np.arange(AHEAD)
-        code = np.where(ahead < stop[:, None], known[np.minimum(ahead, len(symbols) - 1)], -1)
-        fits = (self.places[code] >> np.maximum(np.arange(AHEAD) - 3, 0).astype(np.uint64)) & np.uint64(127) > 0
-        some = (fits & (code >= 0)).sum(1) >= FEWEST
+        about = np.append(self.places[known], np.uint64(0))
+        about[np.flatnonzero(known < 0)] = 0
+        first, fits = begin[lines], np.zeros(len(lines), np.int8)
+        for j in range(AHEAD):
+            at = np.where(first + j < stop, first + j, len(symbols))
+            fits += (about[at] >> np.uint64(max(j - 3, 0))) & np.uint64(127) > 0
+        some = fits >= FEWEST
         lines, stop = lines[some], stop[some]
         ahead = begin[lines][:, None] + np.arange(HEAD)
         inside = (ahead < stop[:, None]) & (known[np.minimum(ahead, len(symbols) - 1)] >= 0)
@@ -403,7 +406,7 @@ class Detector:
         code = known[ahead[inside]]
         home = np.repeat(np.broadcast_to(lines[:, None], ahead.shape)[inside], self.table.end[code] - self.table.start[code])
         near = np.abs(at - begin[home] - place) <= 3
-        key = np.sort((home[near] << 42) | (template[near] << 21) | place[near])
+        key = np.sort((home[near].astype(np.int64) << 42) | (template[near] << 21) | place[near])
         if not len(key):
             return out
         key = key[np.concatenate([[True], key[1:] != key[:-1]])] >> 21
@@ -439,7 +442,7 @@ class Detector:
             place = range(len(lines)) if order is None else order.tolist()
             read = whole_lines([lines[k] for k in place])
             known = self.known
-            grade = [0 if content_line(line.lower().split(), known) else filler_line(line, known) for line in read]
+            grade = [0 if content_line(low.split(), known) else filler_line(line, known) for line, low in zip(read, "\n".join(read).lower().split("\n"))]
             if max(grade) < 1:
                 out.append(sorted(found.items()))
                 continue

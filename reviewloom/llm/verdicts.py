@@ -94,6 +94,10 @@ def folded(text: str) -> str:
     return low.translate(_SAME) if not low.isascii() else low.encode().translate(_FOLDED).decode()
 
 
+def fold_word(word: str) -> str:
+    return folded(word).strip()
+
+
 def tokens_of(message: str) -> list[str]:
     """The folded words of a message; a number is '#'."""
     return folded(message.replace("#", " # ")).split()
@@ -136,7 +140,7 @@ _PARTS = re.compile(r"\s*[|·•›»>/]\s*")
 _RUN = re.compile("|".join("abcdefghijklmnopqrstuvwxyz"[i : i + 4] for i in range(23)))
 
 
-def _letters_in_order(message: str) -> bool:
+def letters_in_order(message: str) -> bool:
     """Whether the letters run through the alphabet, or words are only numbers counted up."""
     low = message.lower()
     letters = [c for c in low.encode("ascii", "ignore") if 97 <= c <= 122] if _RUN.search(low) else ()
@@ -158,8 +162,6 @@ def classify(message: str, tokens: list[str] | None = None) -> str:
             return "crumb"
     if NAV_FORMS.fullmatch(message.strip(" .…!|:-*[]()")):
         return "crumb"
-    if _letters_in_order(message):
-        return "filler"
     tokens = tokens_of(message) if tokens is None else tokens
     if not tokens:
         return "content"
@@ -217,15 +219,17 @@ def classify(message: str, tokens: list[str] | None = None) -> str:
     return "script" if n.get("script", 0) else "error"
 
 
-_HEAD = frozenset(tokens_of("error errors fatal warning exception problem notice fehler warnung erreur avertissement attention errore erro aviso fout http"))
+_HEADS = "error errors fatal warning exception problem notice fehler warnung erreur avertissement attention errore erro aviso fout http"
+_HEAD = frozenset(tokens_of(_HEADS))
+_EXACT_HEAD = frozenset(_HEADS.split())
 _CODED = _HEAD | frozenset(tokens_of("status code ref reference id"))
 
 
 def _headed(message: str) -> bool:
     """Whether one of the first words announces an error: 'Error:', 'fatal -', 'Warning!', 'Erreur 12'."""
-    words = message.split(None, 4)[:4]
-    for i, w in enumerate(words):
-        if any(t in _HEAD for t in tokens_of(w)) and (w[-1] in ":!.–—-" or i + 1 == len(words) or words[i + 1][:1] in "#–—-:(" or words[i + 1][:1].isdigit()):
+    words = message.split(None, 5)[:5]
+    for i, w in enumerate(words[:4]):
+        if any(t in _HEAD and (len(t) >= CERTAIN or t in map(fold_word, _EXACT_HEAD & set(small_letters(w).split()))) for t in tokens_of(w)) and (w[-1] in ":!.–—-" or i + 1 == len(words) or words[i + 1][:1] in "#–—-:(" or words[i + 1][:1].isdigit()):
             return True
     return False
 
