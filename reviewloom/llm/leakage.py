@@ -11,7 +11,8 @@
    item, each place of the item once.
    A few hits are enough; then all characters of the item count: some
    ``MIN_WORDS`` words in a row must be covered by short windows of the block,
-   with at most one long word missing.
+   with at most one long word missing; then once more by such windows only as
+   others on the same diagonal support.
 3. *Verify.* For each block and item left, a local alignment, run for many of
    them at once, places the item's characters in the document. It may jump forward, over an advert or the
    line of another column, at a fixed cost. A word of the item is found if its
@@ -45,6 +46,8 @@ RARE = 8  # windows that more places of the test set share are stock phrases and
 ENOUGH = 12  # windows in the table that any MIN_WORDS words of an item have, or all of theirs
 MIN_HITS = 4  # distinct places of the item hit within one SPAN of it: twelve words have about forty, a misread may cost eight
 SHORT = 6  # folded characters of the windows that cover an item's words
+BAND = 8  # diagonals taken together, with the next ones
+SUPPORT = 4  # short windows on one or next to one diagonal: nine letters without an edit, or more with one
 LONG = 5  # folded characters of a word that may count as missing
 COVERED = 0.4  # share of a word's characters below which it is missing
 SHARE = 0.6  # share of the characters of MIN_WORDS words that must be covered
@@ -153,7 +156,7 @@ def candidates(at: np.ndarray, item: np.ndarray, place: np.ndarray, starts: np.n
     return t, b - first_block[t], pair & ((1 << 22) - 1), key[dense[lead]] & ((1 << 20) - 1), key[last] & ((1 << 20) - 1)
 
 
-def covered(items: Items, symbols: np.ndarray, starts: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+def covered(items: Items, slots: np.ndarray, starts: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Per candidate the first and last place of the item in MIN_WORDS words in a row that short windows of the block cover; last is -1 if there are none."""
     t, block, k, lo, hi = found
     begin, finish = np.full(len(t), np.iinfo(np.int64).max), np.full(len(t), -1, np.int64)
@@ -161,7 +164,7 @@ def covered(items: Items, symbols: np.ndarray, starts: np.ndarray, found: tuple[
         return begin, finish
     a = items.offset[k] + np.maximum(0, lo - items.reach[k])
     z = np.minimum(items.offset[k + 1], items.offset[k] + hi + GRAM + items.reach[k])
-    slots, most = items.short.index(symbols), len(items.short.codes)
+    most = len(items.short.codes)
     own, row = np.unique((t << 32) | block, return_inverse=True)
     order = np.argsort(row, kind="stable")
     size = np.cumsum((z - a)[order])
@@ -206,6 +209,55 @@ def covered(items: Items, symbols: np.ndarray, starts: np.ndarray, found: tuple[
     return begin, finish
 
 
+def supported(items: Items, slots: np.ndarray, places: list[list[int]]) -> np.ndarray:
+    """Whether MIN_WORDS words of the item in a row are covered by short windows that others support.
+
+    Equal windows of the item and the document stand on a diagonal (document
+    place less item place). A passage, or each piece of one that is broken by
+    adverts or columns, has its windows on one diagonal, or next to it where
+    letters were lost or added; a window that equals one of the item by chance
+    stands alone. Windows with fewer than SUPPORT on their diagonals don't count.
+    """
+    out = np.zeros(len(places), bool)
+    last, first = np.full(len(items.short.codes), -1, np.int32), np.full(len(items.short.codes), -1, np.int32)
+    for i, (_, k, lo, hi, d0, d1) in enumerate(places):
+        a, z = max(0, lo - MARGIN), min(len(items.symbols[k]), hi + 1 + MARGIN)
+        own = items.slots[items.offset[k] + a : items.offset[k] + z]
+        here = np.flatnonzero(own >= 0)
+        code = own[here]
+        last[code] = here
+        first[code[::-1]] = here[::-1]
+        doc = slots[d0:d1]
+        j = np.flatnonzero(doc >= 0)
+        p, q = last[doc[j]], first[doc[j]]
+        again = np.flatnonzero(q != p)  # twice in this part of the item
+        some = p >= 0
+        p, j = np.concatenate([p[some], q[again]]), np.concatenate([j[some], j[again]])
+        last[code] = -1
+        first[code] = -1
+        band = (j - p + (z - a)) // BAND
+        n = np.bincount(band, minlength=(d1 - d0 + z - a) // BAND + 2)
+        n[1:] += np.bincount(band, minlength=len(n))[:-1]
+        near = np.maximum(n[band], n[np.minimum(band + 1, len(n) - 1)])
+        p = p[near >= SUPPORT]
+        if len(p) < SUPPORT:
+            continue
+        cover = np.zeros(z - a + SHORT, bool)
+        for e in range(SHORT):
+            cover[p + e] = True
+        words = items.words[k][a:z]
+        head = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        if len(head) < MIN_WORDS:
+            continue
+        length = np.diff(np.append(head, z - a))
+        hit = np.add.reduceat(cover[: z - a].astype(np.int32), head)
+        lost = np.concatenate([[0], np.cumsum((length >= LONG) & (hit < COVERED * length))])
+        total, size = np.concatenate([[0], np.cumsum(hit)]), np.concatenate([[0], np.cumsum(length)])
+        ok = (lost[MIN_WORDS:] - lost[:-MIN_WORDS] <= 1) & (total[MIN_WORDS:] - total[:-MIN_WORDS] >= SHARE * (size[MIN_WORDS:] - size[:-MIN_WORDS]))
+        out[i] = ok.any()
+    return out
+
+
 def _running(row: np.ndarray, width: int, cost: int) -> np.ndarray:
     """Largest of each row's last ``width`` values, each less ``cost`` for every step back; ``width`` steps at least, in doublings."""
     out, w = row.copy(), 1
@@ -403,7 +455,8 @@ def scan(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     hit, item, place, _ = items.table.hits(symbols)
     found = candidates(hit, item, place, starts)
-    begin, finish = covered(items, symbols, starts, found)
+    slots = items.short.index(symbols)
+    begin, finish = covered(items, slots, starts, found)
     text, block, k, *_ = found
     places: list[list[int]] = []
     last: tuple[int, int, int] | None = None
@@ -417,6 +470,7 @@ def scan(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]
         else:
             places.append([*here, lo, hi, max(int(starts[here[0]]), int(starts[here[0]]) + b * STEP - MARGIN), z])
             last = (*here, b)
+    places = [p for p, ok in zip(places, supported(items, slots, places)) if ok]
     places.sort(key=lambda p: ((p[5] - p[4]) // 200, p[3] - p[2]))  # of like size together
     for first in range(0, len(places), TOGETHER):
         part = places[first : first + TOGETHER]
