@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.folding import GramTable, fold, fold_all, grams
-from reviewloom.session import BROADCAST_LIMIT_BYTES, spread
+from reviewloom.session import spread
 
 GRAM = 8  # folded characters of a window
 BLOCK, STEP = 768, 384  # folded characters of a block and between their starts
@@ -47,12 +47,13 @@ ENOUGH = 12  # windows in the table that any MIN_WORDS words of an item have, or
 MIN_HITS = 4  # distinct places of the item hit within one SPAN of it: twelve words have about forty, a misread may cost eight
 SHORT = 6  # folded characters of the windows that cover an item's words
 BAND = 8  # diagonals taken together, with the next ones
+NEAR = 72  # folded characters of the document aligned beyond the first and the last supported window
 SUPPORT = 4  # short windows on one or next to one diagonal: nine letters without an edit, or more with one
 LONG = 5  # folded characters of a word that may count as missing
 COVERED = 0.4  # share of a word's characters below which it is missing
-SHARE = 0.6  # share of the characters of MIN_WORDS words that must be covered
+SHARE = 0.8  # share of the characters of MIN_WORDS words that must be covered
 BLOCKS = 64  # blocks whose windows are held at once
-TOGETHER = 64  # alignments run at once
+TOGETHER = 48  # alignments run at once
 BATCH_CHARS = 1_000_000  # characters folded at once
 MIN_WORDS = 12
 COLUMN_GAP = 60  # pixels between the left edges of lines of different columns
@@ -60,7 +61,7 @@ MARGIN = 24  # folded characters aligned on both sides of the covered part of th
 PIECE = 3  # words of the item that a piece at the end of a passage must hold if any of them has an edit
 MATCH, MISMATCH, GAP, JUMP = 2, -3, -3, -36
 FAR = 320  # folded characters that one jump may pass: an advert, or a line of each other column
-MAX_ITEM_BYTES = 64 * 1024 * 1024
+SLICE_CHARS = 2_000_000  # characters of the items of one table: about 200 MB broadcast
 
 def reading_order(text: str, x, y) -> str:
     """The lines column by column, if the boxes' corners show more than one column; else the text."""
@@ -209,8 +210,8 @@ def covered(items: Items, slots: np.ndarray, starts: np.ndarray, found: tuple[np
     return begin, finish
 
 
-def supported(items: Items, slots: np.ndarray, places: list[list[int]]) -> np.ndarray:
-    """Whether MIN_WORDS words of the item in a row are covered by short windows that others support.
+def supported(items: Items, slots: np.ndarray, places: list[list[int]]) -> list[list[int]]:
+    """The candidates of which MIN_WORDS words of the item in a row are covered by short windows that others support.
 
     Equal windows of the item and the document stand on a diagonal (document
     place less item place). A passage, or each piece of one that is broken by
@@ -218,9 +219,9 @@ def supported(items: Items, slots: np.ndarray, places: list[list[int]]) -> np.nd
     letters were lost or added; a window that equals one of the item by chance
     stands alone. Windows with fewer than SUPPORT on their diagonals don't count.
     """
-    out = np.zeros(len(places), bool)
+    out: list[list[int]] = []
     last, first = np.full(len(items.short.codes), -1, np.int32), np.full(len(items.short.codes), -1, np.int32)
-    for i, (_, k, lo, hi, d0, d1) in enumerate(places):
+    for t, k, lo, hi, d0, d1 in places:
         a, z = max(0, lo - MARGIN), min(len(items.symbols[k]), hi + 1 + MARGIN)
         own = items.slots[items.offset[k] + a : items.offset[k] + z]
         here = np.flatnonzero(own >= 0)
@@ -239,7 +240,8 @@ def supported(items: Items, slots: np.ndarray, places: list[list[int]]) -> np.nd
         n = np.bincount(band, minlength=(d1 - d0 + z - a) // BAND + 2)
         n[1:] += np.bincount(band, minlength=len(n))[:-1]
         near = np.maximum(n[band], n[np.minimum(band + 1, len(n) - 1)])
-        p = p[near >= SUPPORT]
+        kept = near >= SUPPORT
+        p, j = p[kept], j[kept]
         if len(p) < SUPPORT:
             continue
         cover = np.zeros(z - a + SHORT, bool)
@@ -254,7 +256,10 @@ def supported(items: Items, slots: np.ndarray, places: list[list[int]]) -> np.nd
         lost = np.concatenate([[0], np.cumsum((length >= LONG) & (hit < COVERED * length))])
         total, size = np.concatenate([[0], np.cumsum(hit)]), np.concatenate([[0], np.cumsum(length)])
         ok = (lost[MIN_WORDS:] - lost[:-MIN_WORDS] <= 1) & (total[MIN_WORDS:] - total[:-MIN_WORDS] >= SHARE * (size[MIN_WORDS:] - size[:-MIN_WORDS]))
-        out[i] = ok.any()
+        ok = np.flatnonzero(ok)
+        if len(ok):
+            end = head[ok[-1] + MIN_WORDS] if ok[-1] + MIN_WORDS < len(head) else z - a
+            out.append([t, k, a + int(head[ok[0]]), a + int(end) - 1, max(d0, d0 + int(j.min()) - NEAR), min(d1, d0 + int(j.max()) + SHORT + NEAR)])
     return out
 
 
@@ -470,7 +475,7 @@ def scan(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]
         else:
             places.append([*here, lo, hi, max(int(starts[here[0]]), int(starts[here[0]]) + b * STEP - MARGIN), z])
             last = (*here, b)
-    places = [p for p, ok in zip(places, supported(items, slots, places)) if ok]
+    places = supported(items, slots, places)
     places.sort(key=lambda p: ((p[5] - p[4]) // 200, p[3] - p[2]))  # of like size together
     for first in range(0, len(places), TOGETHER):
         part = places[first : first + TOGETHER]
@@ -488,41 +493,80 @@ def scan(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]
     return out
 
 
-def collect_items(items: DataFrame, key: str, text: str) -> Items:
-    """The items on the driver, behind a check of their size: the test set is a stated, bounded input."""
-    total = items.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    if total * 16 > MAX_ITEM_BYTES or total * 16 > BROADCAST_LIMIT_BYTES * 4:
-        raise ValueError(f"the test items have {total} characters; split them into several runs of at most {MAX_ITEM_BYTES // 16}")
-    rows = items.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).orderBy(key).collect()
-    return Items([r[0] for r in rows], [r[1] for r in rows])
+def item_slices(items: DataFrame, key: str, text: str, limit: int = SLICE_CHARS) -> Iterator[Items]:
+    """The items in tables of at most about ``limit`` characters, each small enough to be broadcast; one for a usual test set.
 
-
-def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", boxes: str | None = "boxes", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_key, item_key, words, start_at, end_at) of every leaked item. One pass over the documents, no shuffle."""
-    table = collect_items(items, item_key, text)
-    shared = documents.sparkSession.sparkContext.broadcast(table)
+    They are fetched one after the other, so the driver holds one table at a time.
+    """
+    rows = items.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).orderBy(key)
+    ids, texts, size = [], [], 0
+    for r in rows.toLocalIterator():
+        ids.append(r[0])
+        texts.append(r[1])
+        size += len(r[1])
+        if size >= limit:
+            yield Items(ids, texts)
+            ids, texts, size = [], [], 0
+    if ids:
+        yield Items(ids, texts)
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", boxes: str | None = "boxes", min_words: int = MIN_WORDS, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """(doc_key, item_key, words, start_at, end_at) of every leaked item, places in the text in reading order. One pass over the documents for each table of items, no shuffle."""
     box = F.col(boxes) if boxes and boxes in documents.columns else F.lit(None).cast("array<struct<x0:int,y0:int>>")
-    corner = [F.transform(box, lambda b: b["x0"].cast("double")).alias("_x0"), F.transform(box, lambda b: b["y0"].cast("double")).alias("_y0")]
-    rows = documents.select(doc_key, F.col(text).alias("_text"), *corner).where(F.col("_text").isNotNull())
-    rows = spread(rows)
+    x, y = F.transform(box, lambda b: b["x0"].cast("double")), F.transform(box, lambda b: b["y0"].cast("double"))
+    wide = F.array_max(x) - F.array_min(x) > COLUMN_GAP
+    rows = spread(documents.select(doc_key, F.col(text).alias("_text"), F.when(wide, x).alias("_x0"), F.when(wide, y).alias("_y0")).where(F.col("_text").isNotNull()))
     kind = dict(documents.dtypes)[doc_key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for pdf in batches:
-            out, at = [], 0
-            keys, texts = pdf[doc_key].tolist(), [reading_order(*r) for r in zip(pdf["_text"], pdf["_x0"], pdf["_y0"])]
-            while at < len(texts):
-                n, size = 1, len(texts[at])
-                while at + n < len(texts) and size + len(texts[at + n]) <= BATCH_CHARS:
-                    size += len(texts[at + n])
-                    n += 1
-                for key, found in zip(keys[at : at + n], leaks_of(known, texts[at : at + n])):
-                    out += [(key, i, words, a + 1, z + 1) for k, words, a, z in found if words >= min_words for i in known.ids[k]]
-                at += n
-            yield pd.DataFrame(out, columns=[doc_key, item_key, "words", "start_at", "end_at"])
-
-    return rows.mapInPandas(run, f"{doc_key} {kind}, {item_key} {dict(items.dtypes)[item_key]}, words int, start_at int, end_at int")
+    schema = f"{doc_key} {kind}, {item_key} {dict(items.dtypes)[item_key]}, words int, start_at int, end_at int"
+    out = None
+    for table in item_slices(items, item_key, text, slice_chars):
+        shared = documents.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            known = shared.value
+            for pdf in batches:
+                out, at = [], 0
+                keys, texts = pdf[doc_key].tolist(), [reading_order(*r) for r in zip(pdf["_text"], pdf["_x0"], pdf["_y0"])]
+                while at < len(texts):
+                    n, size = 1, len(texts[at])
+                    while at + n < len(texts) and size + len(texts[at + n]) <= BATCH_CHARS:
+                        size += len(texts[at + n])
+                        n += 1
+                    for key, found in zip(keys[at : at + n], leaks_of(known, texts[at : at + n])):
+                        out += [(key, i, words, a + 1, z + 1) for k, words, a, z in found if words >= min_words for i in known.ids[k]]
+                    at += n
+                yield pd.DataFrame(out, columns=[doc_key, item_key, "words", "start_at", "end_at"])
+
+        part = rows.mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return documents.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def cut_leaks(documents: DataFrame, leaks: DataFrame, doc_key: str = "doc_id", text: str = "text", boxes: str | None = "boxes", mark: str = " ") -> DataFrame:
+    """The documents with ``cut``: the text in reading order without the leaked passages, each of which leaves ``mark``. Other columns pass through."""
+    kind = {doc_key: dict(documents.dtypes)[doc_key]}
+    box = F.col(boxes) if boxes and boxes in documents.columns else F.lit(None).cast("array<struct<x0:int,y0:int>>")
+    x, y = F.transform(box, lambda b: b["x0"].cast("double")), F.transform(box, lambda b: b["y0"].cast("double"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, xs: pd.Series, ys: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for t, cx, cy, a, z in zip(texts, xs, ys, starts, ends):
+            if not isinstance(t, str) or a is None:
+                out.append(t if isinstance(t, str) else None)
+                continue
+            read, at, parts = reading_order(t, cx, cy), 0, []
+            for begin, end in sorted(zip(a, z)):
+                if end > at:
+                    parts += [read[at : max(at, begin - 1)], mark]
+                    at = end
+            out.append("".join([*parts, read[at:]]))
+        return pd.Series(out, dtype=object)
+
+    spans = leaks.groupBy(F.col(doc_key).cast(kind[doc_key]).alias(doc_key)).agg(F.collect_list(F.struct("start_at", "end_at")).alias("_spans"))  # one row per leaked document, as many spans as items
+    joined = documents.join(spans, doc_key, "left")
+    return joined.withColumn("cut", cut(F.col(text), x, y, F.col("_spans.start_at"), F.col("_spans.end_at"))).drop("_spans")
 
 
 def without_leaks(documents: DataFrame, leaks: DataFrame, doc_key: str = "doc_id") -> DataFrame:

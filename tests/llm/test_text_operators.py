@@ -82,6 +82,38 @@ def test_short_passages_of_stock_forms_are_found_as_by_brute_force():
     assert len(brute) > 100 and not brute - found
 
 
+def test_items_that_share_a_passage_and_short_words():
+    r = random.Random(9)
+    for n in (8, 9, 12, 50):
+        shared = sentence(r, 27)
+        texts = [f"{sentence(r, 15)} {shared} {sentence(r, 15)}" for _ in range(n)]
+        known = leakage.Items(list(range(n)), texts)
+        found = leakage.leaks_of(known, [f"{sentence(r, 60)}\n{shared}\n{sentence(r, 30)}"])[0]
+        assert {i for k, words, *_ in found if words >= 12 for i in known.ids[k]} == set(range(n)), n
+    short = "he is to be at an inn by us if it is so or we go on up to a ox"
+    known = leakage.Items([1], [f"{sentence(r, 20)} {short} {sentence(r, 20)}"])
+    found = leakage.leaks_of(known, [f"{sentence(r, 40)}\n{' '.join(short.split()[:14])}\n{sentence(r, 40)}"])[0]
+    assert any(words >= 12 for _, words, *_ in found)
+
+
+def test_many_items_go_in_slices_and_spans_are_cut(spark):
+    r = random.Random(12)
+    items = [(i, sentence(r, 40)) for i in range(40)]
+    docs = [(i, f"{sentence(r, 30)}\n{' '.join(items[i][1].split()[5:25])}\n{sentence(r, 30)}", None) for i in range(0, 40, 3)] + [(100, sentence(r, 40), None), (101, None, None)]
+    doc_df = spark.createDataFrame(docs, "doc_id bigint, text string, boxes array<struct<x0:int,y0:int>>")
+    item_df = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = leakage.find_leaks(doc_df, item_df)
+    want = {(i, i) for i in range(0, 40, 3)}
+    assert {(x["doc_id"], x["item_id"]) for x in whole.collect()} == want
+    assert {(x["doc_id"], x["item_id"]) for x in leakage.find_leaks(doc_df, item_df, slice_chars=900).collect()} == want
+    cut = {x["doc_id"]: x["cut"] for x in leakage.cut_leaks(doc_df, whole).collect()}
+    by_id = dict((d, t) for d, t, _ in docs)
+    assert cut[100] == by_id[100] and cut[101] is None
+    for i in range(0, 40, 3):
+        first, _, last = by_id[i].split("\n")
+        assert cut[i].startswith(first) and cut[i].endswith(last) and " ".join(items[i][1].split()[8:22]) not in cut[i]
+
+
 def test_columns_are_read_in_order():
     text = "left one\nright one\nleft two\nright two"
     assert leakage.reading_order(text, [10, 500, 12, 502], [1, 1, 30, 30]) == "left one\nleft two\nright one\nright two"
