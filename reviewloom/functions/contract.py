@@ -56,12 +56,24 @@ def stripped(text: Column) -> Column:
 
 
 def strict_reason(payload: Column) -> Column:
-    """The full contract over a JSON text: lengths after stripping, closed field list, zone, order of times."""
+    """The full contract over a JSON text: lengths after stripping, closed field list, zone, order of times.
+
+    The text is parsed once; ``transform`` over an array of one binds the fields,
+    so that no rule parses it again.
+    """
     fields = F.from_json(payload, "map<string,string>")
-    keys = F.json_object_keys(payload)
-    text = {f: strip_unicode(F.get_json_object(payload, f"$.{f}")) for f in EVENT.names}
-    reason = F.when(fields.isNull() | keys.isNull(), "not_an_object")
-    reason = reason.when(F.size(F.array_except(keys, F.array(*[F.lit(n) for n in EVENT.names]))) > 0, "unknown_field")
+    return F.transform(F.array(fields), _strict_reason_of).getItem(0)
+
+
+def _strict_reason_of(fields: Column) -> Column:
+    """The same over the fields (null if the text is no object), whose texts are bound once more after stripping."""
+    text = F.transform(F.array(F.struct(*[strip_unicode(F.try_element_at(fields, F.lit(f))).alias(f) for f in EVENT.names])), lambda t: _strict_rules(fields, t))
+    return text.getItem(0)
+
+
+def _strict_rules(fields: Column, text: Column) -> Column:
+    reason = F.when(fields.isNull(), "not_an_object")
+    reason = reason.when(F.size(F.array_except(F.map_keys(fields), F.array(*[F.lit(n) for n in EVENT.names]))) > 0, "unknown_field")
     for f, (low, high) in TEXT_BOUNDS.items():
         reason = reason.when(~F.coalesce(F.length(text[f]).between(low, high), F.lit(False)), f)
     reason = reason.when(~F.coalesce(whole(text["rating"]).between(*RATING), F.lit(False)), "rating")

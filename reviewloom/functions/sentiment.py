@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,38 @@ def clauses(text: Column) -> Column:
     return F.filter(parts, lambda c: c["clause"] != "")
 
 
-def clause_score(clause: Column) -> Column:
+def tokens_of(clause: Column) -> Column:
+    return F.regexp_extract_all(F.lower(clause), F.lit(TOKEN), 0)
+
+
+def _table(entries: dict[str, str | int]) -> Column:
+    """A literal map; looked up once per token."""
+    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+#: Polarity of each sentiment word, and the aspects of each form of an alias (several are joined by a comma).
+_POLARITY = {w: 1 for w in POSITIVE} | {w: -1 for w in NEGATIVE}
+_ASPECT_OF: dict[str, str] = {}
+for _name, _aliases in ASPECTS.items():
+    for _form in dict.fromkeys(a + e for a in _aliases for e in ENDINGS):
+        _ASPECT_OF[_form] = ",".join(filter(None, [_ASPECT_OF.get(_form), _name]))
+
+
+def score_of(tokens: Column) -> Column:
     """Share of positive minus share of negative words, four digits, half to even; 0 without any."""
-    tokens = F.regexp_extract_all(F.lower(clause), F.lit(TOKEN), 0)
-    pos = F.size(F.filter(tokens, lambda t: t.isin(POSITIVE)))
-    neg = F.size(F.filter(tokens, lambda t: t.isin(NEGATIVE)))
-    return F.bround((pos - neg).cast("double") / F.greatest(pos + neg, F.lit(1)), 4)
+    signs = F.filter(F.transform(tokens, lambda t: F.try_element_at(_table(_POLARITY), t)), lambda s: s.isNotNull())
+    total = F.aggregate(signs, F.lit(0), lambda a, s: a + s)
+    return F.bround(total.cast("double") / F.greatest(F.size(signs), F.lit(1)), 4)
+
+
+def aspects_of(tokens: Column) -> Column:
+    """Names of the aspects that the tokens mention, each once."""
+    hits = F.filter(F.transform(tokens, lambda t: F.try_element_at(_table(_ASPECT_OF), t)), lambda h: h.isNotNull())
+    return F.filter(F.array_distinct(F.split(F.array_join(hits, ","), ",")), lambda a: a != "")
+
+
+def clause_score(clause: Column) -> Column:
+    return score_of(tokens_of(clause))
 
 
 def label(score: Column) -> Column:
@@ -47,16 +75,19 @@ def label(score: Column) -> Column:
 
 def mentioned(clause: Column) -> Column:
     """Names of the aspects that a clause mentions by a whole token."""
-    tokens = F.regexp_extract_all(F.lower(clause), F.lit(TOKEN), 0)
-    hits = [F.when(F.arrays_overlap(tokens, F.array(*[F.lit(a + e) for a in aliases for e in ENDINGS])), F.lit(name)) for name, aliases in ASPECTS.items()]
-    return F.array_compact(F.array(*hits))
+    return aspects_of(tokens_of(clause))
 
 
 def mentions(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """One row per clause and mentioned aspect: keys, pos, clause, score, aspect. A null text has none."""
+    """One row per clause and mentioned aspect: keys, pos, clause, score, aspect. A null text has none.
+
+    Tokens are taken once per clause, and scored only where an aspect is mentioned.
+    """
     per_clause = df.select(*keys, F.explode(clauses(F.coalesce(F.col(text), F.lit("")))).alias("c"))
-    scored = per_clause.select(*keys, "c.pos", "c.clause", clause_score(F.col("c.clause")).alias("score"), mentioned(F.col("c.clause")).alias("aspects"))
-    return scored.select(*keys, "pos", "clause", "score", F.explode("aspects").alias("aspect"))
+    tokens = per_clause.select(*keys, "c.pos", "c.clause", F.explode(F.array(tokens_of(F.col("c.clause")))).alias("_t"))  # bound by the generator, so it isn't taken again
+    about = tokens.select(*keys, "pos", "clause", "_t", F.explode(F.array(aspects_of(F.col("_t")))).alias("_a")).where(F.size("_a") > 0)
+    scored = about.select(*keys, "pos", "clause", "_a", F.explode(F.array(score_of(F.col("_t")))).alias("score"))
+    return scored.select(*keys, "pos", "clause", "score", F.explode("_a").alias("aspect"))
 
 
 def best_per_aspect(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -67,12 +98,36 @@ def best_per_aspect(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 
 def aspect_array(text: Column) -> Column:
-    """All of it inside one row: sorted array<struct<aspect, sentiment_score, sentiment_label, evidence>>."""
-    scored = F.transform(clauses(F.coalesce(text, F.lit(""))), lambda c: F.struct(c["pos"].alias("pos"), c["clause"].alias("clause"), clause_score(c["clause"]).alias("score"), mentioned(c["clause"]).alias("aspects")))
-
-    def of(name: str) -> Column:
-        having = F.filter(scored, lambda c: F.array_contains(c["aspects"], name))
-        top = F.array_max(F.transform(having, lambda c: F.struct(F.abs(c["score"]).alias("a"), (-c["pos"]).alias("p"), c["score"].alias("score"), c["clause"].alias("clause"))))
-        return F.when(F.size(having) > 0, F.struct(F.lit(name).alias("aspect"), top["score"].alias("sentiment_score"), label(top["score"]).alias("sentiment_label"), top["clause"].alias("evidence")))
-
-    return F.array_compact(F.array(*[of(n) for n in sorted(ASPECTS)]))
+    """All of it inside one row: sorted array<struct<aspect, sentiment_score, sentiment_label, evidence>>.
+
+    ``transform`` over arrays of one binds the tokens of a clause and the scored
+    clauses, so that nothing is computed again for each aspect.
+    """
+
+    def scored(c: Column) -> Column:
+        bound = F.transform(F.array(tokens_of(c["clause"])), lambda t: F.struct(c["pos"].alias("pos"), c["clause"].alias("clause"), score_of(t).alias("score"), aspects_of(t).alias("aspects")))
+        return bound.getItem(0)
+
+    def of(every: Column, name: str) -> Column:
+        having = F.filter(every, lambda c: F.array_contains(c["aspects"], name))
+        ranked = F.transform(having, lambda c: F.struct(F.abs(c["score"]).alias("a"), (-c["pos"]).alias("p"), c["score"].alias("score"), c["clause"].alias("clause")))
+        top = F.transform(F.array(F.array_max(ranked)), lambda t: F.when(t.isNotNull(), F.struct(F.lit(name).alias("aspect"), t["score"].alias("sentiment_score"), label(t["score"]).alias("sentiment_label"), t["clause"].alias("evidence"))))
+        return top.getItem(0)
+
+    per_clause = F.filter(F.transform(clauses(F.coalesce(text, F.lit(""))), scored), lambda c: F.size(c["aspects"]) > 0)
+    return F.transform(F.array(per_clause), lambda every: F.array_compact(F.array(*[of(every, n) for n in sorted(ASPECTS)]))).getItem(0)
+
+
+def score_aspects(text: str | None) -> list[dict[str, object]]:
+    """The scorer for one text outside Spark, by the same word lists: sorted dicts of aspect, sentiment_score, sentiment_label, evidence."""
+    best: dict[str, tuple[float, str]] = {}
+    for part in re.split(CUT, text or ""):
+        clause = part.strip()
+        words = re.findall(TOKEN, clause.lower())
+        signs = [_POLARITY[w] for w in words if w in _POLARITY]
+        score = round(sum(signs) / max(len(signs), 1), 4)
+        for aspect in dict.fromkeys(a for w in words for a in _ASPECT_OF.get(w, "").split(",") if a):
+            if aspect not in best or abs(score) > abs(best[aspect][0]):
+                best[aspect] = (score, clause)
+    named = lambda s: "positive" if s > LABEL_AT else "negative" if s < -LABEL_AT else "neutral"
+    return [{"aspect": a, "sentiment_score": s, "sentiment_label": named(s), "evidence": e} for a, (s, e) in sorted(best.items())]

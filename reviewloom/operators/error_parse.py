@@ -6,6 +6,9 @@ quotes and delimiters. A record with a zero-cost path whose values fit the
 contract is loaded; any other is put out with its reason, which follows from
 the edit operations, or from the first value that breaks the contract.
 
+Edits of JSON are those of one object whose values may be whole nested values;
+a broken nested value is mended as text of the object around it.
+
 The zero-cost part of the programme is deterministic (at most one path is free
 of edits), so it is run first as a compiled pattern, or for JSON as a strict
 parser of the full grammar; the full programme runs, vectorised over a batch,
@@ -43,9 +46,9 @@ QUOTE_COST = 1 << 32  # more than all delimiter edits of a record together
 DELIM_COST = 1
 TEXT_COST = 4
 _INF = 1 << 60
-#: Characters of one batch of the programme, and above how many the edits of one record are counted but not listed.
+#: Characters of one batch of the programme, and steps for which back pointers are held.
 BATCH_CHARS = 400_000
-SCRIPT_CHARS = 400_000
+SEGMENT = 16_384
 
 
 class Automaton:
@@ -105,39 +108,57 @@ class Automaton:
                 self.pred[c, to, k], self.cost[c, to, k] = s, cost
         return self
 
-    def parse(self, coded: list[np.ndarray]) -> tuple[np.ndarray, list[str]]:
-        """Cheapest cost of each coded record and its edits as ``name@position`` joined by blanks."""
-        b, longest = len(coded), max((len(x) for x in coded), default=0)
-        listed = longest <= SCRIPT_CHARS
+    def parse(self, coded: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[str]]:
+        """Cheapest cost of each record (classes, places, run lengths) and its edits as ``name@place`` joined by blanks.
+
+        Back pointers are kept for SEGMENT steps at a time; for longer records
+        the costs at the segments' begins are kept, and the segments are run
+        again from the last to the first.
+        """
+        b, longest = len(coded), max((len(x[0]) for x in coded), default=0)
         grid = np.full((longest, b), self.n_classes, np.int64)
-        for i, x in enumerate(coded):
-            grid[: len(x), i] = x
+        runs = np.ones((longest, b), np.int64)
+        for i, (x, _, n) in enumerate(coded):
+            grid[: len(x), i], runs[: len(x), i] = x, n
         now = np.full((b, self.n_states), _INF, np.int64)
         now[:, 0] = 0
-        back = np.zeros((longest if listed else 0, b, self.n_states), np.uint8)
-        rows = np.arange(b)[:, None, None]
-        for t in range(longest):
-            pred = self.pred[grid[t]]
-            reach = now[rows, pred] + self.cost[grid[t]]
-            pick = reach.argmin(axis=2)
-            now = np.minimum(np.take_along_axis(reach, pick[:, :, None], 2)[:, :, 0], _INF)
-            if listed:
-                back[t] = np.take_along_axis(pred, pick[:, :, None], 2)[:, :, 0]
+        marks = [now]
+        for begin in range(0, longest, SEGMENT):
+            now, back = self._run(grid, runs, begin, min(longest, begin + SEGMENT), now)
+            marks.append(now)
         done = now + self.final
         last = done.argmin(axis=1)
-        scripts = []
-        for i in range(b):
-            if not listed:
-                scripts.append("unlisted")
-                continue
-            s, ops = int(last[i]), [f"{o}@{len(coded[i])}" for o in self.final_ops.get(int(last[i]), ())]
-            for t in range(len(coded[i]) - 1, -1, -1):
-                p = int(back[t, i, s])
-                for o in reversed(self.ops.get((int(grid[t, i]), p, s), ())):
-                    ops.insert(0, f"{o}@{t}")
-                s = p
-            scripts.append(" ".join(ops))
-        return done.min(axis=1), scripts
+        edits = [[f"{o}@{int(x[1][-1] + x[2][-1]) if len(x[0]) else 0}" for o in reversed(self.final_ops.get(int(last[i]), ()))] for i, x in enumerate(coded)]
+        state = last.copy()
+        for k in range(len(marks) - 2, -1, -1):
+            begin, end = k * SEGMENT, min(longest, (k + 1) * SEGMENT)
+            if k < len(marks) - 2:
+                back = self._run(grid, runs, begin, end, marks[k])[1]
+            for i, (x, at, n) in enumerate(coded):
+                s = int(state[i])
+                for t in range(min(len(x), end) - 1, begin - 1, -1):
+                    p = int(back[t - begin, i, s])
+                    for o in reversed(self.ops.get((int(x[t]), p, s), ())):
+                        edits[i].append(f"{o}@{int(at[t])}" + (f"x{int(n[t])}" if n[t] > 1 else ""))
+                    s = p
+                state[i] = s
+        return done.min(axis=1), [" ".join(reversed(e)) for e in edits]
+
+    def _run(self, grid: np.ndarray, runs: np.ndarray, begin: int, end: int, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(costs after the steps, back pointers of the steps)."""
+        b = grid.shape[1]
+        back = np.zeros((end - begin, b, self.n_states), np.uint8)
+        flat = np.arange(b)[:, None, None] * self.n_states
+        for t in range(begin, end):
+            pred = self.pred[grid[t]]
+            price = self.cost[grid[t]]
+            if (runs[t] > 1).any():  # of a run of equal characters each costs as much
+                price = np.where(price < _INF, price * runs[t][:, None, None], _INF)
+            reach = now.ravel()[flat + pred] + price
+            pick = reach.argmin(axis=2)[:, :, None]
+            now = np.minimum(np.take_along_axis(reach, pick, 2)[:, :, 0], _INF)
+            back[t - begin] = np.take_along_axis(pred, pick, 2)[:, :, 0]
+        return now, back
 
 
 def csv_automaton(cells: int = len(FIELDS), delimiter_class: int = 1) -> Automaton:
@@ -226,14 +247,63 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def code_json(text: str) -> np.ndarray:
+Coded = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _shortened(classes: np.ndarray, runs_of: tuple[int, ...]) -> Coded:
+    """(classes, places, run lengths): the middle of a run of equal characters that are text counts as one step.
+
+    Its first two and last two stay apart, so whatever an edit can do within the
+    run it can do there, at the same cost.
+    """
+    n = len(classes)
+    if n < 6:
+        return classes, np.arange(n), np.ones(n, np.int64)
+    inner = np.zeros(n, bool)
+    same = classes[1:] == classes[:-1]
+    inner[3:-2] = same[:-4] & same[1:-3] & same[2:-2] & same[3:-1] & same[4:]  # as the two before it, the one before those, and the two after it
+    inner &= np.isin(classes, runs_of)
+    at = np.flatnonzero(~inner | np.concatenate([[True], ~inner[:-1]]))
+    return classes[at], at, np.diff(np.append(at, n))
+
+
+def code_json(text: str) -> Coded:
     p = _points(text)
-    return _JSON_CLASS[np.where(p < 0x80, p, ord("'"))]
+    classes = _JSON_CLASS[np.where(p < 0x80, p, ord("'"))]
+    for a, z in _whole_values(text):
+        classes[a:z] = 8
+    return _shortened(classes, (7, 8, 10, 11))
 
 
-def code_csv(text: str) -> np.ndarray:
+def code_csv(text: str) -> Coded:
     p = _points(text)
-    return np.where(p == ord('"'), 0, np.where(p == ord(","), 1, 2)).astype(np.int64)
+    return _shortened(np.where(p == ord('"'), 0, np.where(p == ord(","), 1, 2)).astype(np.int64), (2,))
+
+
+_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
+
+
+def _whole_values(text: str) -> list[tuple[int, int]]:
+    """The outermost arrays and objects inside the record that are whole JSON values: for the record's own edits they are scalars."""
+    if text.count("{") + text.count("[") < 2:
+        return []
+    stack: list[int] = []
+    good: list[tuple[int, int]] = []
+    for m in _BRACKET.finditer(text):
+        c = m.group()
+        if c in "{[":
+            stack.append(m.start())
+        elif c in "}]" and stack:
+            a = stack.pop()
+            if stack and text[stack[0]] == "{":  # inside an object
+                inside = [g for g in good if g[0] > a]
+                short, at = "", a
+                for g in inside:  # values already known to be whole stand as a number
+                    short += text[at : g[0]] + "0"
+                    at = g[1]
+                if json_value(short + text[at : m.end()]):
+                    good = [g for g in good if g[0] < a] + [(a, m.end())]
+    return [g for g in good if g[0] > 0]
 
 
 #: The edit-free paths of the CSV automaton: one cell, and nine of them.
@@ -258,15 +328,64 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
+def _whole_number(digits: str) -> int | float:
+    """An integer of any length; one that no rule could accept stands for all longer ones."""
+    return int(digits) if len(digits) < 20 else float("inf")
+
+
+_DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_int=_whole_number)
+
+
+def json_value(text: str) -> bool:
+    """Whether the text is one JSON value."""
+    try:
+        _DECODER.decode(text)
+    except RecursionError:
+        return _flattened(text) is not None
+    except ValueError:
+        return False
+    return True
+
+
 def json_object(text: str) -> dict | None:
-    """The object if the text is one RFC 8259 object and nothing else, else None."""
+    """The object if the text is one RFC 8259 object and nothing else, else None; of any depth and with numbers of any length."""
     try:
-        got = json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        got = _DECODER.decode(text)
+    except RecursionError:
+        got = _flattened(text)
+    except ValueError:
         return None
     return got if isinstance(got, dict) else None
 
 
+def _flattened(text: str) -> object | None:
+    """The value of a text nested too deep for recursion: what stands in brackets is checked from the inside out and then stands as a number."""
+    parts: list[list[str]] = [[]]
+    opens: list[str] = []
+    at = 0
+    for m in _BRACKET.finditer(text):
+        c = m.group()
+        if len(c) > 1:
+            continue
+        parts[-1].append(text[at : m.start()])
+        at = m.end()
+        if c in "{[":
+            opens.append(c)
+            parts.append([c])
+        else:
+            if not opens or {"{": "}", "[": "]"}[opens.pop()] != c:
+                return None
+            body = "".join(parts.pop()) + c
+            try:
+                value = _DECODER.decode(body)
+            except (ValueError, RecursionError):
+                return None
+            if not opens:
+                return value if not text[at:].strip(" \t\r\n") and not "".join(parts[0]).strip(" \t\r\n") else None
+            parts[-1].append("0")
+    return None
+
+
 _TIME = re.compile(
     r"(\d{4})-?(\d{2})-?(\d{2})[Tt](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|z|[+-]\d{2}(?::?\d{2})?)", re.ASCII
 )
@@ -332,11 +451,11 @@ def _automaton(kind: str) -> Automaton:
 def error_scripts(texts: list[str], kind: str) -> tuple[np.ndarray, list[str]]:
     """Costs and edits of records, in batches of similar length so that padding stays small."""
     coded = [(code_csv if kind == "csv" else code_json)(t) for t in texts]
-    order = sorted(range(len(texts)), key=lambda i: len(coded[i]))
+    order = sorted(range(len(texts)), key=lambda i: len(coded[i][0]))
     costs, scripts = np.zeros(len(texts), np.int64), [""] * len(texts)
     while order:
         n = 1
-        while n < len(order) and len(coded[order[n]]) * (n + 1) <= BATCH_CHARS:
+        while n < len(order) and len(coded[order[n]][0]) * (n + 1) <= BATCH_CHARS:
             n += 1
         batch, order = order[:n], order[n:]
         cost, script = _automaton(kind).parse([coded[i] for i in batch])

@@ -120,8 +120,10 @@ def bronze_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT kafka_partition, count(*) AS deliveries, count(DISTINCT sha256(payload_json)) AS events FROM bronze_feedback_events WHERE payload_json IS NOT NULL GROUP BY 1")
 def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "bronze_feedback_events").where(F.col("payload_json").isNotNull()).select("kafka_partition", raw_hash(F.col("payload_json")).alias("h"))
-    return b.groupBy("kafka_partition").agg(F.count(F.lit(1)).alias("deliveries"), F.count_distinct("h").alias("events"))
+    b = table(spark, sf_dir, "bronze_feedback_events").where(F.col("payload_json").isNotNull()).select("kafka_partition", raw_hash(F.col("payload_json")).alias("event_hash"))
+    unique = b.dropDuplicates(["kafka_partition", "event_hash"])  # the stream's operator, over a bounded table
+    n = b.groupBy("kafka_partition").agg(F.count(F.lit(1)).alias("deliveries"))
+    return n.join(unique.groupBy("kafka_partition").agg(F.count(F.lit(1)).alias("events")), "kafka_partition")
 
 
 @query(f"""WITH {_EVENTS}, processed AS (SELECT event_hash FROM silver_feedback)
@@ -384,16 +386,30 @@ def scan_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.rescan_jsonl(table(spark, sf_dir, "raw_feedback_records"))
 
 
-@query("SELECT file_name, max(line_number) - 1 AS records FROM raw_feedback_records WHERE record_format = 'csv' GROUP BY 1")
+_CELL = '(?:"(?:[^"]|"")*"|[^",\\r\\n]*)'
+_AT = "regexp_extract(raw_record, '^" + "(" + _CELL + ")" + f"(?:,({_CELL}))" * 4 + ".*$', {n}, 's')"
+
+
+def _cell(n: int, name: str) -> str:
+    raw = _AT.format(n=n)
+    return f"nullif(CASE WHEN starts_with({raw}, '\"') THEN replace(substr({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END, '') AS {name}"
+
+
+@query(f"""SELECT record_id, {_cell(1, "review_id")}, {_cell(2, "product_id")}, {_cell(4, "review_text")}, {_cell(5, "source")} FROM raw_feedback_records
+  WHERE record_format = 'csv' AND regexp_full_match(raw_record, '{_CELL}(?:,{_CELL}){{8}}')""")
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.rescan_csv(table(spark, sf_dir, "raw_feedback_records"))
 
 
 @query("SELECT p_brand AS brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM part GROUP BY 1")
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.rescan_json(table(spark, sf_dir, "part"), "p_brand", "p_size")
+    back = files.rescan_json(table(spark, sf_dir, "part"), "p_brand", ["p_partkey", "p_size"])
+    return back.groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("p_size").cast("long")).alias("total"))
 
 
-@query("SELECT DISTINCT file_name FROM raw_feedback_records WHERE record_format = 'csv'")
+@query("""WITH lines AS (SELECT file_name, record_format, line_number, regexp_replace(raw_record, '[\\r\\n]+', ' ', 'g') AS v FROM raw_feedback_records),
+  f AS (SELECT file_name, sha256(string_agg(v || chr(10), '' ORDER BY line_number)) AS file_hash, max(CASE WHEN record_format = 'jsonl' THEN 1 ELSE 0 END) AS seen FROM lines GROUP BY 1)
+  SELECT file_name, file_hash FROM f WHERE seen = 0 AND file_hash NOT IN (SELECT file_hash FROM f WHERE seen = 1)""")
 def file_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.new_files(table(spark, sf_dir, "raw_feedback_records"))
+    _, fresh = files.rescan_files(table(spark, sf_dir, "raw_feedback_records"))
+    return fresh.select("file_name", "file_hash")

@@ -7,9 +7,11 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.schemas import CORRUPT
+from reviewloom.schemas import CORRUPT, EVENT
 from reviewloom.session import fresh_path
 
+DOCUMENT_END = "\x1e"  # the record separator of JSON text sequences
+DOCUMENT_PARTS = 16  # documents for one key, so that none grows with a hot key alone
 KINDS = {".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv", ".json": "json"}
 
 
@@ -27,15 +29,15 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return whole.where(F.trim("payload_json") != "").select("file_path", (F.col("pos") + 1).alias("line_number"), "payload_json")
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> DataFrame:
     """All cells as text by the file's header; ragged records are marked in ``_corrupt_record``."""
     schema = ", ".join(f"{c} string" for c in [*columns, CORRUPT])
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', schema=schema, columnNameOfCorruptRecord=CORRUPT, mode="PERMISSIVE", enforceSchema=False)
+    return spark.read.csv(path, header=header, multiLine=True, escape='"', schema=schema, columnNameOfCorruptRecord=CORRUPT, mode="PERMISSIVE", enforceSchema=not header)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """payload_json of each element of an array document, or of the one object."""
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+def read_json(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """payload_json of each element of an array document, or of the one object. A file is one document, or several that ``end`` separates."""
+    text = (spark.read.text(path, lineSep=end) if end else spark.read.text(path, wholetext=True)).select(F.trim("value").alias("v"))
     array = F.from_json("v", "array<variant>")
     many = text.select(F.posexplode(F.when(F.col("v").startswith("["), array).otherwise(F.array(F.try_parse_json("v")))).alias("pos", "e"))
     return many.select((F.col("pos") + 1).alias("line_number"), F.to_json("e").alias("payload_json"))
@@ -75,20 +77,31 @@ def rescan_jsonl(raw: DataFrame) -> DataFrame:
 
 
 def rescan_csv(raw: DataFrame) -> DataFrame:
-    """Records per CSV file, counted by ordinal."""
-    return raw.where("record_format = 'csv'").groupBy("file_name").agg((F.max("line_number") - 1).cast("long").alias("records"))
-
-
-def rescan_json(df: DataFrame, key: str, number: str) -> DataFrame:
-    """Rows written as JSON documents and read back."""
-    path = fresh_path(df.sparkSession, "json")
-    df.select(key, number).write.json(path)
-    back = df.sparkSession.read.schema(f"{key} string, {number} int").json(path)
-    return back.groupBy(F.col(key).alias("brand")).agg(F.count(F.lit(1)).alias("n"), F.sum(number).alias("total"))
-
-
-def new_files(raw: DataFrame) -> DataFrame:
-    """Files of the drop, of which those with JSON lines are in the ledger."""
-    known = raw.groupBy("file_name").agg(F.max(F.col("record_format") == "jsonl").alias("seen"), F.sha2(F.first("file_name"), 256).alias("file_hash"))
-    return unseen(known.select("file_name", "file_hash"), known.where("seen")).select("file_name")
-
+    """The CSV records with nine whole cells and no line break outside quotes, written as CSV files with a header and read back cell by cell."""
+    spark, path = raw.sparkSession, fresh_path(raw.sparkSession, "csv")
+    cell = '(?:"(?:[^"]|"")*"|[^",\\r\\n]*)'
+    good = raw.where("record_format = 'csv'").where(F.col("raw_record").rlike(f"^{cell}(?:,{cell}){{{len(EVENT.names) - 1}}}$"))
+    good.select(F.concat_ws(",", F.col("record_id").cast("string"), "raw_record").alias("value")).repartitionByRange("record_id").write.text(path)
+    read_back = read_csv(spark, path, ["record_id", *EVENT.names], header=False)
+    return read_back.select(F.col("record_id").cast("long").alias("record_id"), "review_id", "product_id", "review_text", "source")
+
+
+def rescan_json(df: DataFrame, key: str, numbers: list[str]) -> DataFrame:
+    """Rows written as array documents, one per value of ``key``, and read back element by element."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "json")
+    rows = df.select(key, F.to_json(F.struct(key, *numbers)).alias("j"))
+    part = F.pmod(F.xxhash64("j"), F.lit(DOCUMENT_PARTS))
+    documents = rows.groupBy(key, part.alias("_p")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    documents.select("value").write.text(path, lineSep=DOCUMENT_END)
+    back = read_json(spark, path, DOCUMENT_END)
+    return back.select(*[F.get_json_object("payload_json", f"$.{c}").alias(c) for c in (key, *numbers)])
+
+
+def rescan_files(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of the drop's files, those of them that a ledger of the JSON lines' contents has not): the records of each file name written as files of their own."""
+    spark, path = raw.sparkSession, fresh_path(raw.sparkSession, "drop")
+    lines = raw.select("file_name", F.regexp_replace("raw_record", r"[\r\n]+", " ").alias("value"), "line_number")
+    lines.repartition("file_name").sortWithinPartitions("file_name", "line_number").select("file_name", "value").write.partitionBy("file_name").text(path)
+    found = fingerprints(spark, f"{path}/*/*.txt").withColumn("file_name", F.regexp_extract("file_path", "file_name=([^/]+)/", 1))
+    seen = raw.where("record_format = 'jsonl'").select("file_name").distinct()
+    return found, unseen(found, found.join(seen, "file_name", "left_semi"))

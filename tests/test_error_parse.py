@@ -103,3 +103,29 @@ def test_frame(spark):
     good = {r["record_key"]: r for r in ep.loaded(parsed).collect()}
     assert set(good) == {"1", "3"} and good["3"]["review_text"] == CELLS[3] and good["1"]["rating"] == 4
     assert ep.error_parse(df.limit(0)).count() == 0
+
+
+def test_numbers_and_depth_have_no_limit():
+    rec = '{"review_id":"r","product_id":"p","rating":4,"review_text":"ok","source":"web","created_at":"2026-01-01T00:00:00Z","schema_version":1,"more":%s}'
+    for value in ("1" * 5000, "[" * 20_000 + "]" * 20_000, '{"a":' * 3000 + "1" + "}" * 3000):
+        assert ep.parse_records([rec % value], ["json"])[0][0] is None
+    for value in ("[" * 20_000 + "]" * 19_999, '{"a":' * 3000 + "}" * 3000, "[1,]"):
+        assert ep.parse_records([rec % value], ["json"])[0][0] == "not_json"
+
+
+def test_a_missing_brace_around_nested_values_is_one_edit():
+    whole = '{"a": {"b": [1, 2, {"c": "d, }"}]}, "e": [[], {}], "f": "x"}'
+    assert ep.json_object(whole)
+    reason, edits, cost, *_ = ep.parse_records([whole[:-1]], ["json"])[0]
+    assert (reason, cost) == ("not_json", 1) and edits == f"insert_delimiter@{len(whole) - 1}"
+
+
+def test_long_records_have_their_edits_listed(monkeypatch):
+    long = "a,b,c," + "x" * 900_000 + ',"' + "y, " * 10_000 + ',g,h,i'
+    reason, edits, cost, *_ = ep.parse_records([long], ["csv"])[0]
+    assert reason == "broken_quoting" and edits.count("quote") == 1
+    texts = ['a,b,"c,d,e,f,g,h,i', "a,b,c,d" * 3, 'ab"cd,e,f' * 9, "x" * 50]
+    want = ep.error_scripts(texts, "csv")
+    monkeypatch.setattr(ep, "SEGMENT", 7)
+    got = ep.error_scripts(texts, "csv")
+    assert got[1] == want[1] and got[0].tolist() == want[0].tolist()

@@ -42,6 +42,8 @@ def test_sentiment(spark):
     flat = {(r["id"], r["aspect"]): (r["sentiment_score"], r["sentiment_label"]) for r in sentiment.best_per_aspect(df, "t", ["id"]).collect()}
     assert flat[0, "camera"] == (1.0, "positive") and flat[0, "battery"] == (-1.0, "negative")
     assert flat[1, "support"][1] == "negative" and (2, "usability") not in flat and (3, "performance") not in flat and flat[3, "packaging"] == (0.0, "neutral")
+    alone = {(i, x["aspect"]): (x["sentiment_score"], x["sentiment_label"]) for i, t in enumerate(texts) for x in sentiment.score_aspects(t)}
+    assert alone == flat
     inside = {(r["id"], x["aspect"]): (x["sentiment_score"], x["sentiment_label"]) for r in df.select("id", sentiment.aspect_array(df["t"]).alias("a")).collect() for x in r["a"]}
     assert inside == flat
 
