@@ -54,14 +54,14 @@ for _name, _aliases in ASPECTS.items():
 
 def score_of(tokens: Column) -> Column:
     """Share of positive minus share of negative words, four digits, half to even; 0 without any."""
-    signs = F.filter(F.transform(tokens, lambda t: F.try_element_at(_table(_POLARITY), t)), lambda s: s.isNotNull())
+    signs = F.transform(F.filter(tokens, lambda t: t.isin(list(_POLARITY))), lambda t: F.try_element_at(_table(_POLARITY), t))  # a set first, as a map is searched from its begin
     total = F.aggregate(signs, F.lit(0), lambda a, s: a + s)
     return F.bround(total.cast("double") / F.greatest(F.size(signs), F.lit(1)), 4)
 
 
 def aspects_of(tokens: Column) -> Column:
     """Names of the aspects that the tokens mention, each once."""
-    hits = F.filter(F.transform(tokens, lambda t: F.try_element_at(_table(_ASPECT_OF), t)), lambda h: h.isNotNull())
+    hits = F.transform(F.filter(tokens, lambda t: t.isin(list(_ASPECT_OF))), lambda t: F.try_element_at(_table(_ASPECT_OF), t))
     return F.filter(F.array_distinct(F.split(F.array_join(hits, ","), ",")), lambda a: a != "")
 
 
