@@ -45,6 +45,7 @@ GRAM = 5
 COVER = 0.65  # share of a template's windows that a line must hold
 HEAD = 48  # symbols from a line's begin by which a message is looked up; the rest of a longer one is then compared
 AHEAD, FEWEST = 24, 5  # windows at a line's begin, and how many of them must be in the table before the line is looked at
+EARLY = 12  # first windows of a message, of which some must be there
 MIN_GRAMS = 8  # windows of a template that can be propagated by windows
 SHORT_MESSAGE = 12  # characters below which a message goes on to the end of its next sentence
 SLICE_BYTES = 64 * 1024 * 1024  # of folded messages in one table that is broadcast; more messages make more tables, each scanned for
@@ -409,11 +410,13 @@ class Detector:
         key = np.sort((home[near].astype(np.int64) << 42) | (template[near] << 21) | place[near])
         if not len(key):
             return out
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] >> 21
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        early = (key & ((1 << 21) - 1)) < EARLY
+        key >>= 21
         lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         pair, n = key[lead], np.diff(np.append(lead, len(key)))
         size = self.size[pair & ((1 << 21) - 1)]
-        good = n >= np.maximum(MIN_GRAMS - 2, COVER * np.minimum(size, HEAD - 4))
+        good = (n >= np.maximum(MIN_GRAMS - 2, COVER * np.minimum(size, HEAD - 4))) & (np.add.reduceat(early.astype(np.int64), lead) >= FEWEST - 2)  # not only what follows the message
         for g, length in zip(pair[good].tolist(), size[good].tolist()):
             k, t = g >> 21, g & ((1 << 21) - 1)
             i = int(np.searchsorted(base, k, side="right")) - 1

@@ -212,6 +212,7 @@ def classify(message: str, tokens: list[str] | None = None) -> str:
     several = (coded or headed) + len(n.keys() - {"past"}) > 1 or "plain" in n or "tech" in n  # a failure alone may be of anything
     if message[:1].islower() and not headed and len(tokens) > 4:
         score -= 1.0  # it may be the rest of a sentence
+    several = several and ("past" not in n or bool(n.keys() & {"plain", "tech", "thing", "script", "filler"}))
     if score < THRESHOLD or not (solid or headed) or not several:
         return "content"
     if n.get("filler", 0) and not n.get("tech", 0) and not n.get("fail", 0):
@@ -228,7 +229,8 @@ _CODED = _HEAD | frozenset(tokens_of("status code ref reference id"))
 def _headed(message: str) -> bool:
     """Whether one of the first words announces an error: 'Error:', 'fatal -', 'Warning!', 'Erreur 12'."""
     words = message.split(None, 5)[:5]
-    for i, w in enumerate(words[:4]):
+    reach = 4 if message[:1].isupper() or not message[:1].isalpha() else 1  # a message in small letters begins with it
+    for i, w in enumerate(words[:reach]):
         if any(t in _HEAD and (len(t) >= CERTAIN or t in map(fold_word, _EXACT_HEAD & set(small_letters(w).split()))) for t in tokens_of(w)) and (w[-1] in ":!.–—-" or i + 1 == len(words) or words[i + 1][:1] in "#–—-:(" or words[i + 1][:1].isdigit()):
             return True
     return False

@@ -106,3 +106,57 @@ def test_frames(spark):
     out = {r["review_id"]: r["redacted"] for r in operator.redact(df, "review_text").collect()}
     assert out["r1"] == "Reach me <[EMAIL]> please." and out["r2"] is None and out["r3"] == ""
     assert operator.mentions(df.limit(0), "review_text", ["review_id"]).count() == 0
+
+
+#: Sentences of other wording and other names than the training text has; a mention is {type|text}.
+UNSEEN = """After the third complaint {name|Giovanni Esposito} finally rang back and apologised.
+We had dinner with {name|Ingrid Svensson} who owns the same kettle.
+Installation was done by {name|Marek Nowak} in twenty minutes.
+The shop's owner, {name|Priya Raghunathan}, replaced it on the spot.
+According to {name|T. Okonkwo} it is a known fault.
+My daughter {name|Lena Brandt} uses it every morning.
+Complaints go nowhere unless {name|Rachel Adeyemi} reads them.
+Forward the receipt to {email|lotte.vanberg@posteo.example} if you still have it.
+I only got an automatic reply from {email|noreply-returns@bigshop.example.com} and then silence.
+Please send the label again, {email|h.kowalski77@mailbox.test} works better.
+Their footer lists {email|hilfe@laden-nord.de} as contact.
+The hotline {phone|+44 20 7946 0812} was engaged for an hour.
+Text {phone|07700 900421} when the replacement is in stock.
+Dial {phone|(212) 555 0147} and ask for returns.
+Leave a message on {phone|030 23125 884} please.
+The courier wanted {id_number|AB 12 34 56 C} before handing it over.
+Why does a toaster warranty need my social security number {id_number|219-09-9999}?
+They photocopied my passport {id_number|X12345678} at the counter.
+Tax number {id_number|12/345/67890} was printed on the invoice for all to see.
+It ended up at {address|48 Wellington Road} two streets away.
+Next time use the side door of {address|7 rue des Lilas}.
+Our office at {address|Lindenstraße 22} never received it.
+The neighbours in {address|131 Harbour Lane} had opened the parcel.
+We flew it home from New York without damage.
+Bought on 12 March 2025 and it died on 3 April 2025.
+Model KX-4410-88 has a better hinge than model KX-4400.
+Rated 4.7 out of 5 by 1,204 people.
+The Oxford Street branch had none left in stock.
+Order 4471-882910 took nine days to arrive.""".split("\n")
+
+
+def test_wording_that_the_model_never_saw():
+    """README gives the figures: names inside a sentence are the weak side."""
+    import re
+
+    from reviewloom.llm.pii.model import Tagger
+    from reviewloom.llm.pii.operator import WEIGHTS, find_all
+
+    texts, gold = [], []
+    for line in UNSEEN:
+        text, spans, at = "", set(), 0
+        for m in re.finditer(r"\{(\w+)\|([^}]*)\}", line):
+            text += line[at : m.start()]
+            spans.add((len(text), m.group(1)))
+            text += m.group(2)
+            at = m.end()
+        texts.append(text + line[at:])
+        gold.append(spans)
+    found = [{(a, kind) for a, _, kind in spans} for spans in find_all(Tagger.load(WEIGHTS), texts)]
+    hit = sum(len(g & f) for g, f in zip(gold, found))
+    assert hit >= 0.75 * sum(map(len, gold)) and hit >= 0.8 * sum(map(len, found))
