@@ -142,11 +142,11 @@ def mined(documents: DataFrame, key: str = "doc_id", text: str = "text", boxes:
 
         def counted() -> Iterator[pd.DataFrame]:
             if said:
-                yield pd.DataFrame({"kind": "message", "leaf": [leaf_of(m) for m in said], "value": list(said), "n": list(said.values()), key: None})
+                yield pd.DataFrame({"kind": "message", "leaf": [leaf_of(m) for m in said], "value": list(said), "n": list(said.values()), key: None}).astype(object)
             if words:
-                yield pd.DataFrame({"kind": "word", "leaf": None, "value": list(words), "n": list(words.values()), key: None})
+                yield pd.DataFrame({"kind": "word", "leaf": None, "value": list(words), "n": list(words.values()), key: None}).astype(object)
             if texts:
-                yield pd.DataFrame({"kind": "text", "leaf": None, "value": list(texts), "n": [t[0] for t in texts.values()], key: [t[1] for t in texts.values()]})
+                yield pd.DataFrame({"kind": "text", "leaf": None, "value": list(texts), "n": [t[0] for t in texts.values()], key: [t[1] for t in texts.values()]}).astype(object)
             said.clear(), words.clear(), texts.clear()
 
         for pdf in batches:
@@ -183,8 +183,8 @@ def residue_templates(mined_rows: DataFrame) -> Iterator[tuple[str, str]]:
                     out += verdicts_of_leaf(rows)
                     leaf, rows = name, []
                 rows.append((value, n))
-            yield pd.DataFrame(out, columns=["verdict", "message", "n"])
-        yield pd.DataFrame(list(verdicts_of_leaf(rows)), columns=["verdict", "message", "n"])
+            yield pd.DataFrame(out, columns=["verdict", "message", "n"]).astype(object)
+        yield pd.DataFrame(list(verdicts_of_leaf(rows)), columns=["verdict", "message", "n"]).astype(object)
 
     path = fresh_path(mined_rows.sparkSession, "residue")
     leaves.mapInPandas(run, "verdict string, message string, n long").write.parquet(path)
@@ -225,7 +225,7 @@ def known_words(documents: DataFrame, mined_rows: DataFrame, key: str = "doc_id"
             for t, more in zip(pdf["_text"], pdf["_more"]):
                 for w in (_words_of(t) or ("", ()))[1]:
                     less[w] += more
-            yield pd.DataFrame({"value": list(less), "n": list(less.values())})
+            yield pd.DataFrame({"value": list(less), "n": list(less.values())}).astype(object)
 
     doubles = documents.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).join(copied, key).select("_text", "_more").mapInPandas(run, "value string, n long")
     counts = mined_rows.where("kind = 'word'").select("value", "n").unionByName(doubles).groupBy("value").agg(F.sum("n").alias("n"))
@@ -489,7 +489,7 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
                     for k, lines in zip(keys[at : at + n], d.scan(texts[at : at + n], orders[at : at + n])):
                         found += [(k, line + 1, kind) for line, kind in lines]
                     at += n
-                yield pd.DataFrame(found, columns=[key, "line_no", "kind"])
+                yield pd.DataFrame(found, columns=[key, "line_no", "kind"]).astype(object)
 
         part = rows.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
