@@ -16,7 +16,8 @@
 4. *Expose* the state through the watermark: only transactions that lie whole
    within the contiguous prefix are applied, the others stay held. Only where
    the caller knows that missing offsets won't come any more (``feed_complete``)
-   are they released behind it, in commit order.
+   are they released behind it, in commit order; transactions of which changes
+   are missing stay held even then.
 
 Defined cases: the event time of a change is ``updated_at``, else
 ``created_at``, else before all others; a change beats a base row of equal
@@ -64,13 +65,14 @@ def assemble(changes: DataFrame) -> DataFrame:
 
 
 def held_back(changes: DataFrame, marks: DataFrame) -> DataFrame:
-    """The assembled changes with ``committed`` of their partition and ``is_held``: beyond the watermark, or of a transaction that isn't whole before it."""
+    """The assembled changes with ``committed`` of their partition and ``is_held``: beyond the watermark, or of a transaction that isn't whole before it; ``is_partial``: of a transaction that isn't whole at all."""
     # One row per Kafka partition: the number of partitions bounds it, not the data.
     placed = assemble(changes).join(F.broadcast(marks), "part", "left").withColumn("is_held", F.coalesce(F.col("pos") > F.col("committed"), F.lit(False)))
     if not {"txn", "txn_size"} <= set(changes.columns):
-        return placed
-    whole = placed.where("txn is not null").groupBy("txn").agg((F.count_if(~F.col("is_held")) >= F.max("txn_size")).alias("whole"))
-    return placed.join(whole, "txn", "left").withColumn("is_held", F.col("is_held") | ~F.coalesce("whole", F.lit(True))).drop("whole")
+        return placed.withColumn("is_partial", F.lit(False))
+    whole = placed.where("txn is not null").groupBy("txn").agg((F.count_if(~F.col("is_held")) >= F.max("txn_size")).alias("whole"), (F.count(F.lit(1)) >= F.max("txn_size")).alias("there"))
+    partial = placed.join(whole, "txn", "left").withColumn("is_partial", ~F.coalesce("there", F.lit(True)))
+    return partial.withColumn("is_held", F.col("is_held") | ~F.coalesce("whole", F.lit(True))).drop("whole", "there")
 
 
 @F.pandas_udf(T.LongType())
@@ -114,7 +116,7 @@ def watermarks(changes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Replay:
-    """``state``: one row per key of the feed or the base; ``held``: changes not yet committed."""
+    """``state``: one row per key of the feed or the base; ``held``: changes not applied."""
 
     state: DataFrame
     held: DataFrame
@@ -129,7 +131,8 @@ def replay(changes: DataFrame, base: DataFrame, feed_complete: bool = False) ->
     """
     marks = watermarks(changes)
     placed = held_back(changes, marks)
-    live = placed if feed_complete else placed.where(~F.col("is_held"))
+    waits = F.col("is_partial" if feed_complete else "is_held")
+    live = placed.where(~waits)
     versions = live.select("key", F.struct("t", F.lit(1).alias("from_feed"), "pos", "change", (F.col("kind") == "delete").alias("gone")).alias("v"))
     rows = base.select(
         key_form(F.col("review_id")).alias("key"), F.struct(event_time().alias("t"), F.lit(0).alias("from_feed"), F.lit(-1).cast("long").alias("pos"), F.lower(F.trim("event_hash")).alias("change"), F.lit(False).alias("gone")).alias("v")
@@ -140,5 +143,5 @@ def replay(changes: DataFrame, base: DataFrame, feed_complete: bool = False) ->
         .agg(F.max("v").alias("v"), F.max("v.from_feed").alias("in_feed"))
         .select(F.col("key").alias("review_id"), F.col("v.change").alias("event_hash"), F.col("v.gone").alias("deleted"), (F.col("in_feed") == 1).alias("in_feed"), F.col("v.t").alias("t"))
     )
-    held = placed.where("is_held").select("change", "txn", F.col("key").alias("review_id"), "kind", "part", "pos", "committed")
+    held = placed.where(waits).select("change", "txn", F.col("key").alias("review_id"), "kind", "part", "pos", "committed")
     return Replay(state, held, marks)

@@ -64,9 +64,13 @@ def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return message_store.one_copy_each(bronze.select("delivery_id", "kafka_partition", "kafka_offset"), kept)
 
 
+def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table is the whole feed, so what lies behind a gap of its offsets is applied too.
+    return change_replay.replay(table(spark, sf_dir, "feedback_changes"), table(spark, sf_dir, "silver_feedback"), feed_complete=True).state
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = change_replay.replay(table(spark, sf_dir, "feedback_changes"), table(spark, sf_dir, "silver_feedback"), feed_complete=False)
-    return done.state.where("in_feed and not deleted").select("review_id", "event_hash")
+    return _current(spark, sf_dir).where("in_feed and not deleted").select("review_id", "event_hash")
 
 
 def p5_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from reviewloom.functions.bitmaps import Bitmap
 from reviewloom.operators import change_replay as cr
 from reviewloom.operators import message_store as ms
 from reviewloom.operators import orphan_bitmaps as ob
+from reviewloom.plans import data_problems
 
 T0 = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
 ids = st.sets(st.one_of(st.integers(0, 300), st.integers(0, 400_000)), max_size=200)
@@ -134,6 +135,21 @@ def test_transactions_are_applied_whole(spark):
     assert {r["change"] for r in done.held.collect()} == {"c1", "d1", "e1", "f1"}
 
 
+def test_a_complete_feed_applies_no_part_of_a_transaction(spark):
+    cols = CH + ", txn string, txn_size int"
+    rows = [("update", "a", at(0), at(1), "a1", 0, 1, T0, "t1", 2), ("update", "b", at(0), at(1), "b1", 0, 9, T0, "t1", 2), ("update", "c", at(0), at(1), "c1", 0, 2, T0, "t2", 2), ("update", "d", at(0), at(1), "d1", 0, 12, T0, None, None)]
+    done = cr.replay(spark.createDataFrame(rows, cols), spark.createDataFrame([], BASE), feed_complete=True)
+    assert {r["review_id"] for r in done.state.collect()} == {"a", "b", "d"}
+    assert {r["change"] for r in done.held.collect()} == {"c1"}
+
+
+def test_queries_apply_changes_behind_a_gap(spark, tmp_path):
+    changes = [("insert", "a", at(0), None, "a1", 0, 1, T0), ("update", "b", at(0), at(5), "b1", 0, 9, T0), ("delete", "c", None, at(5), "c1", 0, 12, T0)]
+    spark.createDataFrame(changes, CH).write.parquet(f"{tmp_path}/feedback_changes.parquet")
+    spark.createDataFrame([("b", at(0), at(1), "b0", T0), ("c", at(0), at(1), "c0", T0)], "review_id string, created_at timestamp, updated_at timestamp, event_hash string, processed_at timestamp").write.parquet(f"{tmp_path}/silver_feedback.parquet")
+    assert {tuple(r) for r in data_problems.p5_found(spark, str(tmp_path)).collect()} == {("a", "a1"), ("b", "b1")}
+
+
 def test_replay_empty(spark):
     done = cr.replay(spark.createDataFrame([], CH), spark.createDataFrame([], BASE))
     assert done.state.count() == 0 and done.marks.count() == 0
