@@ -79,8 +79,7 @@ def p5_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     stg, silver = table(spark, sf_dir, "stg_feedback"), table(spark, sf_dir, "silver_feedback")
-    state = change_replay.replay(table(spark, sf_dir, "feedback_changes"), silver, feed_complete=False).state
-    deleted = state.where("deleted").select(F.col("review_id").alias("key"))
+    deleted = _current(spark, sf_dir).where("deleted").select(F.col("review_id").alias("key"))
     aspect = orphan_bitmaps.find_orphans(
         orphan_bitmaps.references(table(spark, sf_dir, "aspect_sentiment"), "review_id", "aspect", "processed_at", "created_at"), orphan_bitmaps.parents(stg, "review_id", "processed_at"), deleted
     )

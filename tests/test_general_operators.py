@@ -147,7 +147,10 @@ def test_queries_apply_changes_behind_a_gap(spark, tmp_path):
     changes = [("insert", "a", at(0), None, "a1", 0, 1, T0), ("update", "b", at(0), at(5), "b1", 0, 9, T0), ("delete", "c", None, at(5), "c1", 0, 12, T0)]
     spark.createDataFrame(changes, CH).write.parquet(f"{tmp_path}/feedback_changes.parquet")
     spark.createDataFrame([("b", at(0), at(1), "b0", T0), ("c", at(0), at(1), "c0", T0)], "review_id string, created_at timestamp, updated_at timestamp, event_hash string, processed_at timestamp").write.parquet(f"{tmp_path}/silver_feedback.parquet")
+    spark.createDataFrame([("a", T0, T0)], "review_id string, created_at timestamp, processed_at timestamp").write.parquet(f"{tmp_path}/stg_feedback.parquet")
+    spark.createDataFrame([("c", "x", T0, at(9))], "review_id string, aspect string, created_at timestamp, processed_at timestamp").write.parquet(f"{tmp_path}/aspect_sentiment.parquet")
     assert {tuple(r) for r in data_problems.p5_found(spark, str(tmp_path)).collect()} == {("a", "a1"), ("b", "b1")}
+    assert {(r["review_id"], r["reason"]) for r in data_problems.p6_found(spark, str(tmp_path)).collect()} == {("c", "deleted"), ("a", "missing")}
 
 
 def test_replay_empty(spark):
