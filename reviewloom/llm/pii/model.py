@@ -7,6 +7,7 @@ product is a table lookup. Tags are BIO over the types.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
@@ -42,11 +43,20 @@ _RARE: dict[str, int] = {}
 
 def encode(text: str) -> np.ndarray:
     """Character classes of a text, one per code point."""
-    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = _TABLE[np.minimum(p, len(_TABLE) - 1)].copy()
-    for i in np.flatnonzero(p >= len(_TABLE)):
-        out[i] = _RARE.setdefault(text[i], _code(text[i]))
-    return out
+    return encode_all([text])[0]
+
+
+def encode_all(texts: list[str]) -> list[np.ndarray]:
+    """``encode`` for many texts, looked up together."""
+    joined = "".join(texts)
+    p = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _TABLE[np.minimum(p, len(_TABLE) - 1)]
+    for i in np.flatnonzero(p >= len(_TABLE)).tolist():
+        ch = joined[i]
+        code = _RARE.get(ch)
+        out[i] = _RARE.setdefault(ch, _code(ch)) if code is None else code
+    ends = np.cumsum([len(t) for t in texts]).tolist()
+    return [out[a:z] for a, z in zip([0, *ends], ends)]
 
 
 def tags_of(n: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
@@ -141,91 +151,95 @@ class Tagger:
         """The same scores with few passes over memory: constant factors of the gates are folded into the weights.
 
         A sigmoid is (1 + tanh(x / 2)) / 2; the states kept here are twice the
-        hidden states, so the recurrent and output weights are halved.
+        hidden states, so the recurrent and output weights are halved. Each gate
+        of both directions lies in one piece.
         """
         b, t = ids.shape
         h = self.hidden
         half = np.full(4 * h, 0.5, np.float32)
         half[3 * h :] = 1.0
-        table = (self.w["in"] + self.w["b"][:, None, :]) * half
-        u = self.w["u"] * half * np.float32(0.5)
+        by_gate = lambda w: np.ascontiguousarray(w.reshape(2, -1, 4, h).transpose(2, 0, 1, 3))  # noqa: E731  4, 2, rows, H
+        table = by_gate((self.w["in"] + self.w["b"][:, None, :]) * half).reshape(4, -1, h)
+        u = by_gate(self.w["u"] * half * np.float32(0.5))
         place = np.arange(t)[None, :]
         back = np.where(lengths[:, None] > place, lengths[:, None] - 1 - place, place)
-        order = np.ascontiguousarray(np.stack([ids, np.take_along_axis(ids, back, 1)]).transpose(2, 0, 1))  # T, 2, B
+        order = np.ascontiguousarray(np.concatenate([ids, np.take_along_axis(ids, back, 1) + VOCAB]).T)  # T, 2 B
         hs = np.zeros((t + 1, 2, b, h), np.float32)
-        z, x = np.empty((2, b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32)
+        z, x = np.empty((4, 2, b, h), np.float32), np.empty((2 * b, h), np.float32)
+        flat = z.reshape(4, 2 * b, h)
         c, g = np.zeros((2, b, h), np.float32), np.empty((2, b, h), np.float32)
         for s in range(t):
             np.matmul(hs[s], u, out=z)
-            for d in range(2):
-                np.take(table[d], order[s, d], axis=0, out=x, mode="clip")
-                z[d] += x
+            for k in range(4):
+                np.take(table[k], order[s], axis=0, out=x, mode="clip")
+                flat[k] += x
             np.tanh(z, out=z)
-            z[..., : 3 * h] += 1.0
-            np.multiply(z[..., :h], z[..., 3 * h :], out=g)
-            c *= z[..., h : 2 * h]
+            z[:3] += 1.0
+            np.multiply(z[0], z[3], out=g)
+            c *= z[1]
             c += g
             c *= 0.5
             np.tanh(c, out=g)
-            np.multiply(z[..., 2 * h : 3 * h], g, out=hs[s + 1])
+            np.multiply(z[2], g, out=hs[s + 1])
         out = self.w["out"] * np.float32(0.5)
-        left = (hs[1:, 0] @ out[0]).transpose(1, 0, 2)
-        right = np.take_along_axis((hs[1:, 1] @ out[1]).transpose(1, 0, 2), back[:, :, None], 1)
-        return left + right + self.w["bias"]
+        scores = hs[1:, 0] @ out[0]
+        scores += np.take((hs[1:, 1] @ out[1]).reshape(t * b, -1), back.T * b + np.arange(b), axis=0)
+        scores += self.w["bias"]
+        return scores.transpose(1, 0, 2)
+
+    def _follow(self) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+        """Scores of the first tag, and a step from the best scores (K, n) that end in each tag to those one place on, without its own score."""
+        trans, first = self.w["trans"], self.w["first"].copy()
+        first[2::2] = -1e4
+        outer = np.array([0, *range(1, K, 2)])  # O and B-x follow any tag; I-x follows B-x and I-x only
+        into = np.ascontiguousarray(trans[:, outer])[:, :, None]
+        from_b, from_i = trans[np.arange(1, K, 2), np.arange(2, K, 2)][:, None], trans[np.arange(2, K, 2), np.arange(2, K, 2)][:, None]
+
+        def step(old: np.ndarray) -> np.ndarray:
+            nxt = np.empty_like(old)
+            nxt[outer] = (old[:, None, :] + into).max(0)
+            nxt[2::2] = np.maximum(old[1::2] + from_b, old[2::2] + from_i)
+            return nxt
+
+        return first, step
 
     def has_mention(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Whether the best sequence of each row of (B, T, K) leaves O: its score against that of all O, without pointers."""
         b, t, _ = scores.shape
-        trans = self.w["trans"]
-        first = self.w["first"].copy()
-        first[2::2] = -1e4
+        first, step = self._follow()
         order = np.argsort(-lengths, kind="stable")
         e = np.ascontiguousarray(scores[order].transpose(1, 2, 0))  # T, K, B
         live = np.searchsorted(-lengths[order], -np.arange(t), side="left")  # rows longer than s come first
-        outer = np.array([0, *range(1, K, 2)])  # O and B-x follow any tag; I-x follows B-x and I-x only
-        into = np.ascontiguousarray(trans[:, outer])[:, :, None]
-        from_b, from_i = trans[np.arange(1, K, 2), np.arange(2, K, 2)][:, None], trans[np.arange(2, K, 2), np.arange(2, K, 2)][:, None]
         now = e[0] + first[:, None]
         plain = now[0].copy()
         for s in range(1, t):
             n = int(live[s])
             if not n:
                 break
-            old = now[:, :n]
-            nxt = np.empty_like(old)
-            nxt[outer] = (old[:, None, :] + into).max(0)
-            nxt[2::2] = np.maximum(old[1::2] + from_b, old[2::2] + from_i)
-            nxt += e[s, :, :n]
-            now[:, :n] = nxt
-            plain[:n] += trans[0, 0] + e[s, 0, :n]
+            now[:, :n] = step(now[:, :n]) + e[s, :, :n]
+            plain[:n] += self.w["trans"][0, 0] + e[s, 0, :n]
         out = np.zeros(b, bool)
         out[order] = now.max(0) > plain + 1e-3
         return out
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Best tag sequence of each row of (B, T, K)."""
+        """Best tag sequence of each row of (B, T, K). The way back is found from the kept scores, so no pointers are made."""
         b, t, _ = scores.shape
-        trans = self.w["trans"] + forbidden()
-        first = self.w["first"].copy()
-        first[2::2] = -1e4
-        now = scores[:, 0] + first if t else np.zeros((b, K), np.float32)
-        ptr = np.zeros((t, b, K), np.int8)
+        if not t:
+            return [np.zeros(0, np.int64) for _ in range(b)]
+        first, step = self._follow()
+        kept = np.ascontiguousarray(scores.transpose(1, 2, 0))  # T, K, B
+        kept[0] += first[:, None]
         for s in range(1, t):
-            cand = now[:, :, None] + trans[None]
-            ptr[s] = cand.argmax(1)
-            nxt = np.take_along_axis(cand, ptr[s][:, None, :].astype(np.int64), 1)[:, 0] + scores[:, s]
-            now = np.where((s < lengths)[:, None], nxt, now)
-        last = now.argmax(1)
-        out = []
-        for i in range(b):
-            n = int(lengths[i])
-            y = np.zeros(n, np.int64)
-            if n:
-                y[-1] = last[i]
-                for s in range(n - 1, 0, -1):
-                    y[s - 1] = ptr[s, i, y[s]]
-            out.append(y)
-        return out
+            kept[s] += step(kept[s - 1])
+        kept, into = kept.transpose(0, 2, 1), np.ascontiguousarray((self.w["trans"] + forbidden()).T)
+        tag = kept[np.maximum(lengths - 1, 0), np.arange(b)].argmax(1)
+        y = np.zeros((b, t), np.int64)
+        for s in range(t - 1, 0, -1):
+            y[:, s] = tag
+            tag = np.where(s < lengths, (kept[s - 1] + into[tag]).argmax(1), tag)
+        y[:, 0] = tag
+        return [y[i, :n] for i, n in enumerate(lengths.tolist())]
 
 
 WINDOW, OVERLAP = 192, 64
@@ -247,7 +261,7 @@ def tag_texts(tagger: Tagger, texts: list[str], batch_chars: int = 48_000) -> li
     of a text overlap, their scores are mixed with weights that fall towards a
     window's inner edges; one decoding over the whole text then reconciles them.
     """
-    coded = [encode(t) for t in texts]
+    coded = encode_all(texts)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
 
     def batches(jobs: list, length):
@@ -260,11 +274,11 @@ def tag_texts(tagger: Tagger, texts: list[str], batch_chars: int = 48_000) -> li
             yield jobs[at : at + n]
             at += n
 
+    mentions: list[tuple[int, np.ndarray]] = []
+
     def decode(rows: list[int], scores: np.ndarray, lengths: np.ndarray) -> None:
-        some = np.flatnonzero(tagger.has_mention(scores, lengths))
-        if len(some):
-            for r, y in zip(some, tagger.viterbi(scores[some], lengths[some])):
-                out[rows[r]] = spans_of(y)
+        for r in np.flatnonzero(tagger.has_mention(scores, lengths)).tolist():
+            mentions.append((rows[r], scores[r, : lengths[r]].copy()))
 
     def score(part: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([z - a for _, a, z in part])
@@ -296,4 +310,11 @@ def tag_texts(tagger: Tagger, texts: list[str], batch_chars: int = 48_000) -> li
         for r, i in enumerate(rows):
             scores[r, : lengths[r]] = total[i] / np.maximum(weight[i], 1e-6)[:, None]
         decode(rows, scores, lengths)
+    for part in batches(mentions, lambda m: len(m[1])):  # few texts have mentions, so those of all batches are decoded together
+        lengths = np.array([len(e) for _, e in part])
+        scores = np.zeros((len(part), int(lengths.max()), K), np.float32)
+        for r, (_, e) in enumerate(part):
+            scores[r, : len(e)] = e
+        for (i, _), y in zip(part, tagger.viterbi(scores, lengths)):
+            out[i] = spans_of(y)
     return out

@@ -42,6 +42,31 @@ def test_skipping_texts_changes_nothing(tagger):
         assert bool(y.any()) == bool(flag)
 
 
+def test_decoding_equals_that_with_pointers(tagger):
+    ids, lengths, _ = train.batch_of(corpus.Maker(9), 40, np.random.default_rng(0))
+    scores = tagger.emissions(ids, lengths)
+    trans, first = tagger.w["trans"] + model.forbidden(), tagger.w["first"].copy()
+    first[2::2] = -1e4
+    for e, n, y in zip(scores, lengths.tolist(), tagger.viterbi(scores, lengths)):
+        now, back = e[0] + first, []
+        for s in range(1, n):
+            cand = now[:, None] + trans
+            back.append(cand.argmax(0))
+            now = cand.max(0) + e[s]
+        want = [int(now.argmax())]
+        for ptr in reversed(back):
+            want.append(int(ptr[want[-1]]))
+        assert y.tolist() == want[::-1]
+
+
+def test_texts_tagged_together_equal_texts_alone(tagger):
+    made = corpus.Maker(10)
+    texts = [made.text()[0] for _ in range(120)] + ["Größe “ok” 日本 – write to anna.berg@example.org", "a" * 900 + " call +49 30 1234567"]
+    assert model.tag_texts(tagger, texts, 4000) == [model.tag_texts(tagger, [t])[0] for t in texts]
+    for t, codes in zip(texts, model.encode_all(texts)):
+        assert codes.tolist() == [model._code(c) for c in t]
+
+
 def test_held_out_accuracy(tagger):
     for kind, (precision, recall) in train.held_out(tagger, corpus.Maker(4242), 600).items():
         assert precision > 0.95 and recall > 0.93, (kind, precision, recall)
