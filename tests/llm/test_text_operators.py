@@ -375,3 +375,27 @@ def test_registered_queries(spark, data):
         if name == "p7_packed" and not __import__("pathlib").Path(packing.TOKENIZER).exists():
             continue
         assert query(spark, data).count() >= 0, name
+
+
+def test_alignments_run_together_equal_those_alone():
+    rng = np.random.default_rng(3)
+    parts = []
+    for n in (5, 40, 90, 40, 131):
+        item = rng.integers(1, 14, n).astype(np.uint8)
+        doc = rng.integers(1, 14, int(rng.integers(30, 500))).astype(np.uint8)
+        doc = np.concatenate([doc, item[: n // 2], rng.integers(1, 14, 60).astype(np.uint8), item[n // 2 :], doc[:20]])  # an advert in between
+        parts.append((item, doc))
+    together = leakage.align_all(parts)
+    for (item, doc), got in zip(parts, together):
+        assert got.tolist() == leakage.align(item, doc).tolist()
+        assert (item[got[:, 0]] == doc[got[:, 1]]).all() and (np.diff(got, axis=0) > 0).all()
+        assert len(got) == len(item) or len(item) < 60
+
+
+def test_alignments_at_once_have_bounded_cells():
+    places = [[0, 0, 0, n, 0, 1200] for n in (100, 5000, 9000, 20_000, 30_000, *[10] * 300)]
+    parts = list(leakage._together(places))
+    assert [p for part in parts for p in part] == places
+    for part in parts:
+        assert len(part) <= leakage.TOGETHER
+        assert len(part) == 1 or sum((p[3] + 1 + 2 * leakage.MARGIN) * 1201 for p in part) <= leakage.CELLS
