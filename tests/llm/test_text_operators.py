@@ -399,3 +399,30 @@ def test_alignments_at_once_have_bounded_cells():
     for part in parts:
         assert len(part) <= leakage.TOGETHER
         assert len(part) == 1 or sum((p[3] + 1 + 2 * leakage.MARGIN) * 1201 for p in part) <= leakage.CELLS
+
+
+def test_alignments_keep_the_memory_of_their_scores():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    parts = [(item := rng.integers(1, 18, 120).astype(np.uint8), np.concatenate([rng.integers(1, 18, 480).astype(np.uint8), item])) for _ in range(100)]
+    first = leakage.align_all(parts)
+    tracemalloc.start()
+    again = leakage.align_all(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(len(p) == 120 and p.tolist() == q.tolist() for p, q in zip(first, again))
+    assert peak < 8_000_000  # the scores alone are 14 MB
+
+
+def test_candidates_looked_at_together_equal_those_alone(monkeypatch):
+    r = random.Random(12)
+    form = sentence(r, 14)
+    items = [f"{sentence(r, 3)} {form} {sentence(r, r.randint(4, 30))}" for _ in range(25)]
+    texts = [f"{sentence(r, 80)} {r.choice(items)} {sentence(r, 60)} {' '.join(r.choice(items).split()[:20])}" for _ in range(30)]
+    known = leakage.Items(list(range(25)), items)
+    found = leakage.leaks_of(known, texts)
+    for name in ("SEATS", "BLOCKS", "TOGETHER"):
+        monkeypatch.setattr(leakage, name, 1)
+    assert sum(n >= 12 for x in found for _, n, *_ in x) > 40
+    assert [sorted(x) for x in leakage.leaks_of(known, texts)] == [sorted(x) for x in found]
